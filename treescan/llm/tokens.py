@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer, with its library.
 
-The tokenizers used here drop white space and never join pieces across it, so the ids of a
-text are those of its chunks between ASCII white space, one after the other. Each chunk is
-encoded by the library once per cache; a text is then a gather. The tests hold this against
-the library's ids of whole texts.
+The tokenizers used here lower-case, drop white space and never join pieces across it, so the ids
+of a text are those of its chunks between ASCII white space, one after the other. A full stop or
+comma between a letter and white space is a chunk of its own, and A-Z are lower-cased before, so
+that chunks repeat more. Each chunk is encoded by the library once per cache; a text is then a
+gather. The tests hold this against the library's ids of whole texts.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame
 
 from .shared import written
 
-#: Chunks and bytes of them that one worker keeps; beyond either, the cache starts anew.
-CACHE_CHUNKS, CACHE_BYTES = 400_000, 48 << 20
-#: Bytes of text that are split at a time.
-STEP_BYTES = 1 << 20
+#: Chunks that one worker keeps; beyond, the cache starts anew. Places of its table.
+CACHE_CHUNKS, PLACES = 1 << 20, 1 << 21
+#: Bytes of text that are handled at a time, and words that the library gets as one line.
+STEP_BYTES, LINE = 1 << 20, 256
+_BASE = 0x9E3779B97F4A7C15
 
 
 def default_tokenizer() -> str:
@@ -29,66 +31,160 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Index(dict):
-    """chunk -> number; collects the chunks not seen before."""
+_LETTER, _POINT, _BLANK = np.zeros((3, 256), bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_POINT[list(b".,")] = True
+_BLANK[list(b" \n")] = True
 
-    def __init__(self):
-        self.fresh: list[bytes] = []
 
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = n = len(self)
-        self.fresh.append(chunk)
-        return n
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[9, 10, 11, 12, 13, 32]] = True
+
+
+def normal(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The text with A-Z lower-cased and stops and commas set off, and where blanks were put in."""
+    raw = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(_POINT[raw[1:-1]]) + 1
+    at = at[_LETTER[raw[at - 1]] & _BLANK[raw[at + 1]]]
+    text = np.insert(raw, at, 32).tobytes() if len(at) else text
+    # an upper-case special token is plain text: its case stays
+    return (text if b"<|" in text else text.lower()), at
 
 
 class ChunkEncoder:
+    """A hash table of chunks and their ids, in arrays, so that a whole batch is looked up at once.
+
+    A chunk is told by a 64-bit hash, its first eight bytes and its length.
+    """
+
     def __init__(self, blob: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(blob)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index, self.bytes, self.used = _Index(), 0, 0
-        self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, self.dtype)
-
-    def _learn(self) -> None:
-        fresh, self.index.fresh = self.index.fresh, []
-        first = len(self.index) - len(fresh)
-        self.bytes += sum(map(len, fresh))
-        coded = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        total, end = int(lengths.sum()), first + len(fresh)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids that end a piece
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        self.up, self.down = (np.full(2 * STEP_BYTES, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        for steps in (self.up, self.down):
+            steps[0] = 1
+            np.cumprod(steps, out=steps)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks, self.slots = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.full(PLACES, -1, np.int32)
+        self.start, self.length, self.count = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
+        self.flat, self.used = np.zeros(1 << 14, self.dtype), 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Each chunk's number, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        place = (key & mask).astype(np.int64)
+        out = self.slots[place]
+        left = np.flatnonzero((out >= 0) & ((self.keys[place] != key) | (self.checks[place] != check)))
+        place = place[left]
+        while len(left):
+            place = place + 1 & int(mask)
+            got = self.slots[place]
+            out[left] = got
+            more = (got >= 0) & ((self.keys[place] != key[left]) | (self.checks[place] != check[left]))
+            left, place = left[more], place[more]
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, chunks: list[bytes]) -> None:
+        coded = self.encode(chunks)
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        total, end = int(n.sum()), self.count + len(n)
         if end > len(self.start):
-            self.start, self.length = (np.concatenate([x[:first], np.zeros(2 * end - first, np.int64)]) for x in (self.start, self.length))
+            self.start, self.length = (np.concatenate([x, np.zeros(end, np.int32)]) for x in (self.start, self.length))
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * total, self.dtype)])
-        self.length[first:end] = lengths
-        self.start[first:end] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in coded for i in ids), self.dtype, total)
+            self.flat = np.concatenate([self.flat, np.zeros(2 * (self.used + total), self.dtype)])
+        self.start[self.count : end], self.length[self.count : end] = self.used + np.cumsum(n) - n, n
+        self.flat[self.used : self.used + total] = np.concatenate(coded)
         self.used += total
-
-    def ids(self, text: bytes) -> np.ndarray:
-        out = []
-        while text:
-            if len(text) > STEP_BYTES:  # cut before white space, which belongs to no chunk
-                cut = max(text.rfind(b" ", 0, STEP_BYTES), text.rfind(b"\n", 0, STEP_BYTES))
-                cut = cut if cut > 0 else len(text)
-                part, text = text[:cut], text[cut:]
+        mask, number = len(self.keys) - 1, np.arange(self.count, end, dtype=np.int32)
+        self.count = end
+        place, left = (key & np.uint64(mask)).astype(np.int64), np.arange(len(key))
+        while len(left):  # of those that want one free place, the last written has it
+            free = self.slots[place] < 0
+            self.slots[place[free]] = number[left[free]]
+            won = free & (self.slots[place] == number[left])
+            self.keys[place[won]], self.checks[place[won]] = key[left[won]], check[left[won]]
+            left, place = left[~won], place[~won] + 1 & mask
+
+    def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """By the library. Words of letters are one piece each, so they go as lines that are parted at
+        piece ends; where the ends don't tell, and for other chunks, one by one."""
+        texts = [x.decode() for x in chunks]
+        plain = [i for i, x in enumerate(texts) if x.isalpha()]
+        rest = [i for i, x in enumerate(texts) if not x.isalpha()]
+        out: list = [None] * len(texts)
+        lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in x]) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line) and stops[-1] == len(ids):
+                for i, lo, hi in zip(line, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    out[i] = ids[lo:hi]
             else:
-                part, text = text, b""
-            if len(self.index) > CACHE_CHUNKS or self.bytes > CACHE_BYTES:
-                self._reset()
-            chunks = part.split()
-            at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-            if self.index.fresh:
-                self._learn()
-            n = self.length[at]
-            out.append(self.flat[np.repeat(self.start[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-        return np.concatenate(out) if out else np.zeros(0, self.dtype)
+                rest += line
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.dtype)
+        return out
+
+    def step(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that have at most about `STEP_BYTES` together."""
+        joined, put = normal(b"\n".join(texts) + b"\n")
+        begins = np.cumsum([0, *[len(x) + 1 for x in texts]])
+        begins += np.searchsorted(put, begins)
+        raw = np.frombuffer(joined, np.uint8)
+        if len(raw) >= len(self.up):  # one chunk may be longer than a step
+            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+        gap = np.concatenate([[True], _BLANKS[raw]])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        first, last = edge[::2], edge[1::2]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * self.up[: len(raw)])])
+        size = (last - first).astype(np.uint64)
+        key = (total[last] - total[first]) * self.down[first] + size
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(32)
+        eights = np.ndarray(len(raw), "<u8", joined + bytes(8), strides=(1,))
+        short = np.minimum(size, np.uint64(8)) * np.uint64(8)
+        check = (eights[first] << (np.uint64(64) - short)) ^ size * np.uint64(0x94D049BB133111EB)
+        if self.count + len(key) > CACHE_CHUNKS:
+            self.clear()
+        number = self.find(key, check)
+        if (number < 0).any():
+            fresh = np.flatnonzero(number < 0)
+            one = fresh[np.unique(np.stack([key[fresh], check[fresh]], 1), axis=0, return_index=True)[1]]
+            self.add(key[one], check[one], [joined[a:b] for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)])
+            number[fresh] = self.find(key[fresh], check[fresh])
+        n = self.length[number].astype(np.int64)
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(self.start[number] - ends + n, n) + np.arange(int(n.sum()))]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(first, begins)]
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        out, group, size = [], [], 0
+        for text in texts:
+            if group and size + len(text) > STEP_BYTES:
+                out += self.step(group)
+                group, size = [], 0
+            if len(text) <= STEP_BYTES:
+                group.append(text)
+                size += len(text) + 1
+                continue
+            parts = []
+            while text:  # cut before white space, which belongs to no chunk
+                cut = max(text.rfind(b" ", 0, STEP_BYTES), text.rfind(b"\n", 0, STEP_BYTES)) if len(text) > STEP_BYTES else 0
+                cut = cut if cut > 0 else len(text)
+                parts += self.step([text[:cut]])
+                text = text[cut:]
+            out.append(np.concatenate(parts))
+        return out + (self.step(group) if group else [])
 
 
 _encoders: dict[int, ChunkEncoder] = {}
@@ -119,7 +215,7 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, extra=None, extra_sche
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 end = np.array([end_id], enc.dtype)
-                ids = [np.concatenate([enc.ids(x or b""), end]) for x in part.column(2).to_pylist()]
+                ids = [np.concatenate([x, end]) for x in enc.ids([x or b"" for x in part.column(2).to_pylist()])]
                 n = pa.array([len(x) for x in ids], pa.int64())
                 cols = [part.column(0), part.column(1), n, pa.array([x.tobytes() for x in ids], pa.binary())]
                 cols += extra(ids) if extra else []
