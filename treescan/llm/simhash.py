@@ -11,13 +11,15 @@ fingerprint's own thresholds are complete, a link need be kept only from its sma
 Equal fingerprints are one node. A bucket with more than `BUCKET` fingerprints is left out of
 the join; all who are in it or probe it are linked through the 65 values within one bit of each
 instead: two fingerprints lie within two bits exactly if they share one, and a min per value
-links them in a star. So no bucket is ever paired out.
+links them in a star. So no bucket is paired out at that radius. For other radii such buckets stay
+in the join, which then relies on the thresholds to avoid them and on the split of skewed joins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -132,13 +134,24 @@ def shells(table: np.ndarray, bits: int, radius: int) -> list[np.ndarray]:
     return found
 
 
+def work(parts: int, radius: int, n: int) -> float:
+    """About how much a fingerprint costs with evenly dealt thresholds: its probes, and a tenth for each candidate."""
+    total, bits, cost = radius - parts + 1, 64 // parts, 0.0
+    for k in range(parts):
+        t = total // parts + (k < total % parts) if total >= 0 else (0 if k < parts + total else -1)
+        if t >= 0:
+            probes = sum(comb(bits, r) for r in range(t + 1))
+            cost += probes * (1 + 0.1 * n / 2**bits)
+    return cost
+
+
 def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int | None = None) -> DataFrame:
     """``src, dst``: nodes whose fingerprints differ by at most `radius` bits, or stars of them.
 
     nodes: ``fp`` long, all different, and ``rep``, the node's name.
     """
     n = nodes.count()
-    parts = parts or (4 if n <= 1 << 16 else 3 if n <= 1 << 22 else 2)
+    parts = parts or min(range(2, 7), key=lambda m: work(m, radius, n))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((65, 65))
@@ -214,10 +227,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
     full = written(full)
     a = probed.select("part", "value", F.col("fp").alias("a"), F.col("rep").alias("src"))
     b = indexed.select("part", "value", F.col("fp").alias("b"), F.col("rep").alias("dst"))
-    if not full.take(1):
+    if radius != 2 or not full.take(1):
         return a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("src", "dst")
-    if radius != 2:
-        raise ValueError("full buckets are linked for a radius of 2 only")
     found = a.join(full, ["part", "value"], "left_anti").join(b, ["part", "value"])
     found = found.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("src", "dst")
     busy = indexed.unionByName(probed).join(full, ["part", "value"], "left_semi").select("fp", "rep").distinct()
@@ -242,5 +253,23 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return rows.join(roots, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """Of each group of linked documents the row with the smallest doc_id, with the columns of `docs`.
+
+    Of rows with that doc_id the one with the smallest text stays (one of repeated rows). Rows with a null
+    doc_id stay.
+    """
+    found = near_duplicates(docs, radius).select("doc_id", "component_id").distinct()
+    gone = written(found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id != c").select("doc_id"))
+    rest = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # ids of what is left repeat only where a row's id does
+    repeats = written(rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if not repeats.take(1):
+        return rest
+    own = rest.join(repeats, "doc_id", "left_semi").select(*rest.columns)
+    first = own.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("m"))
+    return rest.join(repeats, "doc_id", "left_anti").select(*rest.columns).unionByName(first.select("m.row.*"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
