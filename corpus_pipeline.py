@@ -1,12 +1,51 @@
-"""Stages of a corpus pipeline over `documents`."""
+"""A corpus pipeline over `documents`: each stage applies one operator to all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treescan.llm import mixing, packing, passages, simhash, toxicity
 from treescan.llm.shared import written
 
-STAGES = []
+#: Differing bits up to which fingerprints of the second stage link: near copies rather than the closest only.
+RADIUS = 6
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't take for toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their fingerprints, the one with the smallest doc_id."""
+    return simhash.representatives(docs, RADIUS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs that repeat earlier ones."""
+    return passages.cleaned(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the target mix; those of scarce sources come once for each epoch."""
+    return mixing.mix(docs, mixing.target(spark), mixing.domain_of(), epochs=mixing.EPOCHS, seed=mixing.SEED).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4,096 tokens, as pieces of documents."""
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each),
+    ("repeated_passages", without_repeats),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: SQL has no classifier, no fingerprint and no tokenizer.
 ORACLE_SQL = None
 
 
