@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from .shared import written
 
 #: Chunks that one worker keeps; beyond, the cache starts anew. Places of its table.
-CACHE_CHUNKS, PLACES = 1 << 20, 1 << 21
+CACHE_CHUNKS, PLACES = 5 << 17, 1 << 20
 #: Bytes of text that are handled at a time, and words that the library gets as one line.
-STEP_BYTES, LINE = 1 << 20, 256
+STEP_BYTES, LINE = 1 << 18, 256
 _BASE = 0x9E3779B97F4A7C15
 
 
