@@ -58,7 +58,7 @@ def read_slices(files: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     schema = "slice long, line long, path string, dev long, ino long, mtime long, d_type int"
-    number = F.regexp_extract("path", r"_(\d{1,9})\.f?pbin$", 1).cast("long")
+    number = F.regexp_extract("path", r"_(\d{1,9})\.f?pbin$", 1).try_cast("long")
 
     def run(batches):
         for batch in batches:
