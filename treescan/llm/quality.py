@@ -7,7 +7,6 @@ batch at once.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -20,7 +19,7 @@ from .shared import written
 
 NAMES = (
     "bytes", "words", "word_mean", "word_spread", "upper", "lower", "digit", "space", "comma_stop", "bang", "pipe", "mark", "wide",
-    "entropy", "lines", "line_mean", "line_repeats", "distinct", "top_word", "same_next", "stops", "squeezed", "capital_words", "symbol_words",
+    "entropy", "lines", "line_mean", "line_repeats", "distinct", "top_word", "same_next", "stops", "distinct_pairs", "capital_words", "symbol_words",
 )
 _GROUPS = {
     "upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (9, 10, 11, 12, 13, 32), "comma_stop": b",.;:",
@@ -31,8 +30,6 @@ for _k, _v in enumerate(_GROUPS.values()):
     _MASKS[_k, list(_v)] = 1
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-#: What is compressed to tell how repetitive a text is: up to so many stretches of so many bytes, evenly over the text.
-STRETCH, STRETCHES = 2048, 8
 
 
 def features(text: bytes) -> np.ndarray:
@@ -50,13 +47,11 @@ def features(text: bytes) -> np.ndarray:
         seen[x] = seen.get(x, 0) + 1
     first = np.frombuffer(b"".join([x[:1] for x in words]), np.uint8) if words else np.zeros(1, np.uint8)
     last = np.frombuffer(b"".join([x[-1:] for x in words]), np.uint8) if words else np.zeros(1, np.uint8)
-    at = np.linspace(0, max(0, len(text) - STRETCH), min(STRETCHES, -(-len(text) // STRETCH) or 1)).astype(int)
-    some = b"".join(text[a : a + STRETCH] for a in at)
     live = share[share > 0]
     return np.array([
         np.log1p(len(raw)), np.log1p(len(words)), sizes.mean(), sizes.std(), *(_MASKS @ share),
         float(-(live * np.log2(live)).sum()), np.log1p(len(lines)), np.log1p(len(raw) / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)),
-        len(seen) / w, max(seen.values(), default=0) / w, sum(map(eq, words, words[1:])) / w, hist[46] / w, len(zlib.compress(some, 1)) / max(1, len(some)),
+        len(seen) / w, max(seen.values(), default=0) / w, sum(map(eq, words, words[1:])) / w, hist[46] / w, len(set(zip(words, words[1:]))) / w,
         ((first >= 65) & (first <= 90)).sum() / w, (_MASKS[7] + _MASKS[5])[last].sum() / w,
     ])
 
