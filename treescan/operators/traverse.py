@@ -18,6 +18,7 @@ def walk(children: DataFrame, root: str, levels: int = 4096, visited: DataFrame
     """
     if visited is not None:
         children = unseen(children, visited)
+    children = stored(children)  # each level reads it
     frontier = children.sparkSession.createDataFrame([(root,)], "parent string")
     out = None
     for depth in range(1, levels + 1):
