@@ -3,7 +3,11 @@
 A word's subwords are its byte n-grams of 3 to 6 bytes with the white space beside it, hashed into
 buckets. Each bucket has an embedding; a document's embeddings are averaged into a linear
 softmax, and embeddings and softmax are trained together (Adam, numpy). A misspelt or inflected
-word shares most n-grams with the words seen, so it scores like them.
+word shares most n-grams with the words seen, so it scores like them. The average has `SMOOTH` zero
+vectors besides, so that a few n-grams of a short text don't decide alone.
+
+Training takes a bounded sample of labelled documents and runs in one task of an executor; the
+driver gets the model.
 
 A document's score needs only each bucket's product with the softmax, a table of one number a
 bucket, so scoring is a sum over the whole text's n-grams. The table is what executors get.
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NGRAMS, BUCKET_BITS, DIM = (3, 4, 5, 6), 17, 16
+NGRAMS, BUCKET_BITS, DIM, SMOOTH = (3, 4, 5, 6), 17, 16, 400
 STEP = 1 << 17
 _SPACE = bytes(range(9, 14))
 _FLAT = bytes.maketrans(_SPACE, b" " * len(_SPACE))
@@ -45,14 +49,14 @@ def subwords(text: bytes) -> Iterator[np.ndarray]:
 
 
 def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets and the share of each."""
+    """Distinct buckets and the weight of each in the average."""
     parts = list(subwords(text))
     ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint32), np.zeros(0))
-    return ids.astype(np.uint32), (n / max(1, n.sum())).astype(np.float32)
+    return ids.astype(np.uint32), (n / (n.sum() + SMOOTH)).astype(np.float32)
 
 
 class Model:
-    """table: a number for each bucket; bias. ``score = sigmoid(mean of the table over n-grams + bias)``."""
+    """table: a number for each bucket; bias. ``score = sigmoid(average of the table over n-grams + bias)``."""
 
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table.astype(np.float32), float(bias)
@@ -62,11 +66,11 @@ class Model:
         for part in subwords(text):
             total += float(self.table[part].sum(dtype=np.float64))
             n += len(part)
-        z = total / n + self.bias if n else self.bias
+        z = total / (n + SMOOTH) + self.bias
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = 14, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Model:
     """Fit on bags of subwords; `prior` is the share of label 1 where the model will be used.
 
     A tenth of the rows chooses the epoch. With one class only, the score is the prior.
@@ -79,7 +83,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     order = rng.permutation(len(bags))
     held, rows = order[: len(order) // 10], order[len(order) // 10 :]
     size = 1 << BUCKET_BITS
-    emb = (rng.standard_normal((size, DIM)) / DIM).astype(np.float32)
+    emb = np.zeros((size, DIM), np.float32)
     soft, bias = (rng.standard_normal((2, DIM)) / DIM).astype(np.float32), np.zeros(2, np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
     shift = rest - np.log(labels[rows].mean() / (1 - labels[rows].mean()))  # the sample's share to the true one
@@ -132,29 +136,32 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
     """Train on rows of `labels` (``doc_id, toxic``) that aren't held out.
 
     At most `max_rows` documents of each label, those with the smallest hashes of doc_id, are
-    read for it: the bound of what the driver gets. The prior comes from all such labels.
+    read for it: the bound of what the training task gets. The prior comes from all such labels.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     prior = known.agg(F.avg("toxic")).first()[0]
+    prior = 0.5 if prior is None else prior
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for k in (0, 1)]
     # 2 x max_rows pairs of numbers at most
     picked = F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["doc_id"]))
-    rows = docs.selectExpr("doc_id", "cast(text as binary) text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text")
+    rows = docs.selectExpr("doc_id", "cast(text as binary) text").join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("row"))
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, marks = [], []
         for batch in batches:
-            found = [bag(x or b"") for x in batch.column(1).to_pylist()]
-            cols = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["toxic", "ids", "shares"])
-
-    got = rows.mapInArrow(bags, "toxic int, ids binary, shares binary").collect()
-    got.sort(key=lambda r: (r["toxic"], bytes(r["ids"][:64]), bytes(r["shares"][:64])))
-    pairs = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["shares"], np.float32)) for r in got]
-    return train(pairs, np.array([r["toxic"] for r in got], np.int64), 0.5 if prior is None else prior)
+            bags += [bag(x or b"") for x in batch.column(1).to_pylist()]
+            marks += batch.column(0).to_pylist()
+        if bags:
+            model = train(bags, np.array(marks, np.int64), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["table", "bias"])
+
+    one = rows.select("doc_id", "row.toxic", "row.text").repartition(1).sortWithinPartitions("doc_id").select("toxic", "text")
+    got = one.mapInArrow(run, "table binary, bias double").first()
+    return Model(np.frombuffer(got["table"], np.float32), got["bias"]) if got else train([], np.zeros(0), prior)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
