@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def scan_counts(entries: DataFrame) -> DataFrame:
     """Directories and files; whatever is no directory is a file."""
@@ -37,3 +39,15 @@ def slices_before_gap(ids: DataFrame, most: int = 50) -> DataFrame:
     order = Window.orderBy("id")
     missing = F.col("id") - F.coalesce(F.lag("id").over(order), F.lit(-1)) - 1
     return ids.withColumn("missing", missing).withColumn("stopped", F.max(F.col("missing") > most).over(order)).where("not stopped").select("id")
+
+
+def panel(scan: DataFrame, devices: DataFrame) -> DataFrame:
+    """Lines ``value`` of a progress panel, from one row each: ``dirs, files, age`` and ``dead, condemned``."""
+
+    def line(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    c = F.col
+    of_scan = F.array(line("directories ", c("dirs"), ", files ", c("files")), line("elapsed ", text.elapsed(c("age"))))
+    of_devices = line("devices dead ", c("dead"), ", condemned ", c("condemned"))
+    return scan.select(F.explode(of_scan).alias("value")).unionByName(devices.select(of_devices.alias("value")))

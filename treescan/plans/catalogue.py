@@ -276,6 +276,37 @@ def stale_dead_ignored(spark, d):
     return dedup.first_wins(ns.control(spark, d).where("type = 'ERROR'").select("worker", "dev", "seq"), ["seq"], ["worker", "dev"]).select("worker", "dev", "seq")
 
 
+@query("SELECT path, CASE WHEN e.dev % 2 = 0 THEN '[unsupported]   ' ELSE '----------------' END AS xattr FROM entries e")
+def device_capability(spark, d):
+    """Flags are asked for only on devices that have them."""
+    capable = spark.createDataFrame([(k, k % 2 == 1) for k in range(1, 5)], "dev bigint, capable boolean")
+    rows = ns.entries(spark, d).join(capable, "dev", "left")
+    flags = F.when(F.coalesce("capable", F.lit(True)), modes.flag_string(F.lit(0))).otherwise(template.NO_FLAGS)
+    return rows.select("path", flags.alias("xattr"))
+
+
+@query("""SELECT worker, seq FROM (SELECT worker, max(seq) AS seq, arg_max(type, seq) AS type FROM control GROUP BY worker)
+  WHERE type IN ('READY', 'FINISH') ORDER BY (worker - 3 + 8) % 8 LIMIT 1""")
+def idle_worker_pick(spark, d):
+    """The first idle worker from the third on, round the ring (one pick is the feature)."""
+    idle = ctl.latest_state(ns.control(spark, d)).where("state = 'IDLE'")
+    return idle.orderBy((F.col("worker") - 3 + 8) % 8).limit(1).select("worker", "seq")
+
+
+@query(f"""WITH {ns.SQL},
+{_FOLD},
+c AS (SELECT count_if(is_dir) AS dirs, count_if(NOT is_dir) AS files, max(mtime) - min(mtime) AS age FROM entries),
+v AS (SELECT count_if(state = 'DEAD') AS dead, count_if(state = 'CONDEMNED') AS condemned FROM device)
+SELECT 'directories ' || dirs || ', files ' || files AS value FROM c
+UNION ALL SELECT 'devices dead ' || dead || ', condemned ' || condemned FROM v
+UNION ALL SELECT 'elapsed ' || (age // 86400) || 'd ' || lpad(CAST(age % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 60 AS VARCHAR), 2, '0') FROM c""", views=False)
+def monitor_panel(spark, d):
+    """The lines of the progress panel."""
+    e = ns.entries(spark, d).agg(F.count_if("is_dir").alias("dirs"), F.count_if(~F.col("is_dir")).alias("files"), (F.max("mtime") - F.min("mtime")).alias("age"))
+    v = _devices(spark, d).agg(F.count_if(F.col("state") == "DEAD").alias("dead"), F.count_if(F.col("state") == "CONDEMNED").alias("condemned"))
+    return counters.panel(e, v)
+
+
 # --- formats ------------------------------------------------------------------------------------
 
 _NAMED = "named AS (SELECT *, coalesce(user_name || '(' || uid || ')', CAST(uid AS VARCHAR)) AS u, coalesce(group_name || '(' || gid || ')', CAST(gid AS VARCHAR)) AS g FROM entries LEFT JOIN users USING (uid) LEFT JOIN groups USING (gid))"
@@ -582,6 +613,16 @@ def stream_dedup(spark, d):
     return drained(spark, d)
 
 
+@query(f"""SELECT worker, CAST(min(ts) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS events FROM
+  (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY ts, seq) AS s FROM
+    (SELECT *, ts - lag(ts) OVER (PARTITION BY worker ORDER BY ts, seq) AS gap FROM control)) GROUP BY worker, s""")
+def stream_heartbeats(spark, d):
+    """T4 T5: sessions of a stream whose last events close all (each worker has one far in the future, left out here)."""
+    from ..streaming.heartbeats import drained
+
+    return drained(spark, d, GAP)
+
+
 @query(_with_devices("SELECT dev, state, failures FROM device"), views=False)
 def stream_device_fsm(spark, d):
     """The breaker as a stateful stream gives what the fold gives."""
