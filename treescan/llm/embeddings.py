@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import components, width, written
 
 #: Expected filters of a vector, over all rotations; vectors of a block; unrelated vectors in a filter.
-FILTERS, ROTATIONS, BLOCK, LOAD = 48, 3, 512, 0.25
+FILTERS, ROTATIONS, BLOCK, LOAD = 72, 4, 512, 0.25
 
 
 def codes(dim: int, size: int, rotation: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
