@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, width, written
 
 SEED = 42
 BUCKET = 4096
@@ -104,10 +104,15 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.int64)
 
 
+def highest(parts: int, radius: int) -> int:
+    """The largest threshold that is offered: one above the even deal."""
+    return max(0, -(-(radius - parts + 1) // parts)) + 1
+
+
 def allocate(costs: list[np.ndarray], radius: int) -> np.ndarray:
     """For each fingerprint the cheapest thresholds, ``n x parts``.
 
-    costs[i][:, t + 1]: of threshold t in partition i, t from -1 to radius.
+    costs[i][:, t + 1]: of threshold t in partition i, t from -1 to the highest offered.
     """
     parts, n = len(costs), len(costs[0])
     total = radius + 1  # of thresholds counted from 0 = skip: radius - parts + 1 + parts
@@ -115,7 +120,7 @@ def allocate(costs: list[np.ndarray], radius: int) -> np.ndarray:
     best[:, 0] = 0
     picks = []
     for cost in costs:
-        options = np.stack([np.concatenate([np.full((n, t), np.inf), best[:, : total + 1 - t] + cost[:, t : t + 1]], axis=1) for t in range(total + 1)])
+        options = np.stack([np.concatenate([np.full((n, t), np.inf), best[:, : total + 1 - t] + cost[:, t : t + 1]], axis=1) for t in range(min(total + 1, cost.shape[1]))])
         picks.append(options.argmin(0))
         best = options.min(0)
     out, left = np.zeros((n, parts), np.int64), np.full(n, total)
@@ -152,6 +157,7 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
     """
     n = nodes.count()
     parts = parts or min(range(2, 7), key=lambda m: work(m, radius, n))
+    top = highest(parts, radius)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((65, 65))
@@ -184,8 +190,8 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
     tables = [np.zeros(1 << len(subs[i][j]), np.int64) for i, j in names]
     for r in nodes.select("fp").mapInArrow(histograms, "k long, v long, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).collect():
         tables[r["k"]][r["v"]] = r["n"]
-    rings = nodes.sparkSession.sparkContext.broadcast([shells(t, len(subs[i][j]), radius) for t, (i, j) in zip(tables, names, strict=True)])
-    masks = [[ball(len(g), r) for r in range(radius + 1)] for g in groups]
+    rings = nodes.sparkSession.sparkContext.broadcast([shells(t, len(subs[i][j]), top) for t, (i, j) in zip(tables, names, strict=True)])
+    masks = [[ball(len(g), r) for r in range(top + 1)] for g in groups]
     kind = nodes.schema["rep"].dataType.simpleString()
     schema = f"part int, value long, fp long, rep {kind}"
 
@@ -205,23 +211,26 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
                 fps = batch.column(0).to_numpy().view(np.uint64)
                 costs = []
                 for i in range(len(groups)):
-                    near = np.zeros((len(fps), radius + 1))
+                    near = np.zeros((len(fps), top + 1))
                     own = [[x[gather_bits(fps, subs[i][j])] for x in rings.value[names.index((i, j))]] for j in range(len(subs[i]))]
-                    for d in range(radius + 1):  # halves of a partition as if independent
+                    for d in range(top + 1):  # halves of a partition as if independent
                         near[:, d] = own[0][d] if len(own) == 1 else sum(own[0][e] * own[1][d - e] for e in range(d + 1)) / max(1, n)
                     reach = near.cumsum(1) + [len(m) for m in masks[i]]
                     costs.append(np.concatenate([np.zeros((len(fps), 1)), reach], axis=1))
                 picked = allocate(costs, radius)
                 for i, g in enumerate(groups):
                     value = gather_bits(fps, g)
-                    for t in range(radius + 1):
+                    for t in range(top + 1):
                         at = np.flatnonzero(picked[:, i] == t)
-                        for mask in masks[i][t]:
-                            rows = batch.take(pa.array(at))
-                            part = pa.array(np.full(len(at), i, np.int32))
-                            yield pa.RecordBatch.from_arrays([part, pa.array(value[at] ^ mask), *rows.columns], schema_names)
-
-    rows = nodes.select("fp", "rep")
+                        step = max(1, (1 << 16) // len(masks[i][t]))
+                        for k in range(0, len(at), step):
+                            some = at[k : k + step]
+                            tried = (value[some, None] ^ masks[i][t]).ravel()
+                            own = batch.take(pa.array(np.repeat(some, len(masks[i][t]))))
+                            part = pa.array(np.full(len(tried), i, np.int32))
+                            yield pa.RecordBatch.from_arrays([part, pa.array(tried), *own.columns], schema_names)
+
+    rows = nodes.select("fp", "rep").repartition(width(nodes.sparkSession))  # few bytes, much work
     indexed, probed = written(rows.mapInArrow(index, schema)), written(rows.mapInArrow(probes, schema))
     full = indexed.groupBy("part", "value").count().where(F.col("count") > bucket).select("part", "value")
     full = written(full)
