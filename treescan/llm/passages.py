@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, width, written
+from .shared import components, give_back, width, written
 
 LEAST, SHINGLE, JACCARD, RECALL = 8, 5, 0.8, 0.99
-#: Words after which a sentence may be cut at a word whose hash has its last four bits clear.
-LONG = 32
+#: Words after which a sentence may be cut at a word whose hash has its last three bits clear.
+LONG = 16
 BLOCK = 256
 #: Texts that a task remembers, and bits of the filter at most.
-REMEMBER, FILTER_BITS = 1 << 19, 1 << 26
+REMEMBER, FILTER_BITS = 1 << 18, 1 << 26
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
@@ -102,7 +102,7 @@ class Units:
         stop = _STOP[tail] | _CLOSE[tail] & _STOP[raw[np.maximum(self.end - 2, 0)]]
         breaks = np.concatenate([[0], np.cumsum(raw == 10)])
         line = np.append(breaks[self.start[1:]] > breaks[self.end[:-1]], True)
-        kind = np.where(line, 2, np.where(stop, 1, np.where(words & np.uint64(15) == 0, 0, -1)))
+        kind = np.where(line, 2, np.where(stop, 1, np.where(words & np.uint64(7) == 0, 0, -1)))
         at = np.flatnonzero(kind >= 0)
         first, last, begin = [], [], 0
         for e, k in zip((at + 1).tolist(), kind[at].tolist(), strict=True):
@@ -156,27 +156,29 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
 
     def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            keys, names, again = [], [], []
-            for text in batch.column(0).to_pylist():
-                u = Units(text or b"", least, bands, rows)
-                if not len(u.first):
-                    continue
-                own = u.names.tolist()
-                fresh = []
-                for i, x in enumerate(own):
-                    if x in seen:
-                        again.append(x)
-                    else:
-                        seen.add(x)
-                        fresh.append(i)
-                keys.append(u.keys[fresh].ravel())
-                names.append(np.repeat(u.names[fresh], bands))
-                if len(seen) > REMEMBER:
-                    seen = set()
-            repeats = np.array(sorted(set(again)), np.uint64)  # of interest as they are: two rows of one key
-            cols = [np.concatenate([*x, np.repeat(repeats, 2)]).astype(np.uint64).view(np.int64) for x in (keys, names)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "name"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                keys, names, again = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], set()
+                for text in whole.column(0).slice(lo, 512).to_pylist():
+                    u = Units(text or b"", least, bands, rows)
+                    if not len(u.first):
+                        continue
+                    fresh = []
+                    for i, x in enumerate(u.names.tolist()):
+                        if x in seen:
+                            again.add(x)
+                        else:
+                            seen.add(x)
+                            fresh.append(i)
+                    keys.append(u.keys[fresh].ravel())
+                    names.append(np.repeat(u.names[fresh], bands))
+                    if len(seen) > REMEMBER:
+                        seen.clear()
+                repeats = np.array(sorted(again), np.uint64)  # of interest as they are: two rows of one key
+                cols = [np.concatenate([*x, np.repeat(repeats, 2)]).view(np.int64) for x in (keys, names)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "name"])
+        seen.clear()
+        give_back()
 
     keyed = texts.select("text").mapInArrow(band_keys, "key long, name long")
     # one has company if a row with its key comes before or after
@@ -225,8 +227,7 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
 
     found = written(texts.mapInArrow(of_interest, schema))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "paragraph")
-    copies = F.countDistinct if False else F.count  # rows of one document may repeat as a whole; places tell
-    nodes = found.groupBy("name", "words").agg(F.min(place).alias("place"), F.max(place).alias("end"), copies("*").alias("n"), F.first("keys").alias("keys"))
+    nodes = found.groupBy("name", "words").agg(F.min(place).alias("place"), F.max(place).alias("end"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").count().where(F.col("count") > 1)

@@ -6,9 +6,12 @@ committers, so a lost executor costs the tasks it ran and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/treescan/{uuid.uuid4().hex}"
 
 
+#: Rows of a batch that Python gets while a table is written: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage, and columns can be pruned."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system, since workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if os.path.exists("/proc/self/maps"):  # Linux, where the C library may have it
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def width(spark: SparkSession) -> int:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
+
 NGRAMS, BUCKET_BITS, DIM, SMOOTH = (3, 4, 5, 6), 17, 16, 400
 STEP = 1 << 17
 _SPACE = bytes(range(9, 14))
@@ -70,10 +72,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = 12, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Model:
+def calibrated(z: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float]:
+    """Slope and offset by which margins of rows not trained on fit their labels; few rows stay near 1 and 0."""
+    t = np.array([1.0, 0.0])
+    x = np.stack([z, np.ones(len(z))], 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -50, 50)))
+        grad = x.T @ (p - y) + ridge * (t - [1, 0])
+        t = t - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), grad)
+        t = np.clip(t, [0.2, -5], [1.5, 5])
+    return float(t[0]), float(t[1])
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float, epochs: int = 10, batch: int = 128, steps: int = 50, rate: float = 0.02, seed: int = 11) -> Model:
     """Fit on bags of subwords; `prior` is the share of label 1 where the model will be used.
 
-    A tenth of the rows chooses the epoch. With one class only, the score is the prior.
+    Few rows get more epochs, up to `steps` batches. A tenth of the rows chooses the epoch and a slope and
+    an offset of the margins, and training ends when three epochs brought nothing better. With one class
+    only, the score is the prior.
     """
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     rest = np.log(prior / (1 - prior))
@@ -84,9 +100,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     held, rows = order[: len(order) // 10], order[len(order) // 10 :]
     size = 1 << BUCKET_BITS
     emb = np.zeros((size, DIM), np.float32)
-    soft, bias = (rng.standard_normal((2, DIM)) / DIM).astype(np.float32), np.zeros(2, np.float32)
+    share = labels[rows].mean().clip(1e-3, 1 - 1e-3)
+    own = np.log(share / (1 - share))
+    soft, bias = (rng.standard_normal((2, DIM)) / DIM).astype(np.float32), np.array([-own / 2, own / 2], np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
-    shift = rest - np.log(labels[rows].mean() / (1 - labels[rows].mean()))  # the sample's share to the true one
+    shift = rest - own  # from the sample's share to the true one
 
     def gathered(picks):
         ids = np.concatenate([bags[i][0] for i in picks])
@@ -94,21 +112,24 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
         doc = np.repeat(np.arange(len(picks)), [len(bags[i][0]) for i in picks])
         return ids, w, doc
 
-    def loss(table, b):
+    def margins(table, b):
         ids, w, doc = gathered(held)
-        z = np.bincount(doc, w * table[ids], len(held)) + b
+        return np.bincount(doc, w * table[ids], len(held)) + b
+
+    def loss(z):
         return np.mean(np.logaddexp(0, np.where(labels[held] == 1, -z, z)))
 
-    best, step = (np.inf, None), 0
-    for _ in range(epochs):
+    best, step, worse = (np.inf, None), 0, 0
+    for _ in range(max(epochs, -(-steps // -(-len(rows) // batch)))):
         order = rng.permutation(rows)
         for lo in range(0, len(order), batch):
             picks = order[lo : lo + batch]
             ids, w, doc = gathered(picks)
-            own = emb[ids] * w[:, None]
+            w = w * ((rng.random(len(w)) < 0.5) * np.float32(2))  # half of the n-grams at a time, so that all come to tell
+            parts = emb[ids] * w[:, None]
             edges = np.flatnonzero(np.diff(doc, prepend=-1))
             mean = np.zeros((len(picks), DIM), np.float32)
-            mean[doc[edges]] = np.add.reduceat(own, edges, axis=0) if len(edges) else 0
+            mean[doc[edges]] = np.add.reduceat(parts, edges, axis=0) if len(edges) else 0
             z = mean @ soft.T + bias
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
@@ -126,8 +147,12 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
                 v += 0.001 * g * g
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         table, b = emb @ (soft[1] - soft[0]), float(bias[1] - bias[0])
-        if (now := loss(table, b)) < best[0]:
-            best = now, Model(table, b + shift)
+        z = margins(table, b)
+        a, c = calibrated(z, labels[held])
+        if (now := loss(a * z + c)) < best[0]:
+            best, worse = (now, Model(a * table, a * b + c + shift)), 0
+        elif (worse := worse + 1) == 3:
+            break
     return best[1]
 
 
@@ -136,7 +161,7 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500) -> Model:
     """Train on rows of `labels` (``doc_id, toxic``) that aren't held out.
 
     At most `max_rows` documents of each label, those with the smallest hashes of doc_id, are
@@ -153,10 +178,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, marks = [], []
         for batch in batches:
-            bags += [bag(x or b"") for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(texts), 128):  # a few large arrays: what they took is given back afterwards
+                own = [bag(x or b"") for x in texts[lo : lo + 128]]
+                ends = np.cumsum([len(i) for i, _ in own])[:-1]
+                bags += zip(*(np.split(np.concatenate(x), ends) for x in zip(*own, strict=True)), strict=True)
             marks += batch.column(0).to_pylist()
         if bags:
             model = train(bags, np.array(marks, np.int64), prior)
+            del bags, own, texts
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["table", "bias"])
 
     one = rows.select("doc_id", "row.toxic", "row.text").repartition(1).sortWithinPartitions("doc_id").select("toxic", "text")
