@@ -11,8 +11,8 @@ fingerprint's own thresholds are complete, a link need be kept only from its sma
 Equal fingerprints are one node. A bucket with more than `BUCKET` fingerprints is left out of
 the join; all who are in it or probe it are linked through the 65 values within one bit of each
 instead: two fingerprints lie within two bits exactly if they share one, and a min per value
-links them in a star. So no bucket is paired out at that radius. For other radii such buckets stay
-in the join, which then relies on the thresholds to avoid them and on the split of skewed joins.
+links them in a star. For other radii buckets are gone through by `stars`: an indexed block is held,
+probes stream past it, and edges connect what they find. So no bucket is ever paired out.
 """
 
 from __future__ import annotations
@@ -236,7 +236,9 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
     full = written(full)
     a = probed.select("part", "value", F.col("fp").alias("a"), F.col("rep").alias("src"))
     b = indexed.select("part", "value", F.col("fp").alias("b"), F.col("rep").alias("dst"))
-    if radius != 2 or not full.take(1):
+    if radius != 2:
+        return stars(indexed, probed, full, radius, bucket)
+    if not full.take(1):
         return a.join(b, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("src", "dst")
     found = a.join(full, ["part", "value"], "left_anti").join(b, ["part", "value"])
     found = found.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("src", "dst")
@@ -247,6 +249,53 @@ def links(nodes: DataFrame, radius: int = 2, bucket: int = BUCKET, parts: int |
     return found.unionByName(star.join(low, "value").select(F.col("rep").alias("src"), "dst").where("src != dst"))
 
 
+def stars(indexed: DataFrame, probed: DataFrame, full: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """Edges that connect what the join of probes and index would, at most one for each probe and indexed node
+    of a bucket. Full buckets are dealt in blocks of about `bucket` indexed nodes, each of which meets all probes."""
+    spark = indexed.sparkSession
+    sizes = indexed.join(full, ["part", "value"], "left_semi").groupBy("part", "value").agg((F.floor(F.count("*") / bucket) + 1).cast("int").alias("blocks"))
+    sizes = written(sizes)
+    count = F.coalesce("blocks", F.lit(1))
+    a = indexed.join(sizes, ["part", "value"], "left").select("part", "value", F.pmod(F.xxhash64("fp"), count).cast("int").alias("block"), F.lit(0).alias("probe"), "fp", "rep")
+    b = probed.join(sizes, ["part", "value"], "left").select("part", "value", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"), F.lit(1).alias("probe"), "fp", "rep")
+    kind = indexed.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, names, label = None, np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+            fps, reps = batch.column(4).to_numpy().view(np.uint64), batch.column(5)
+            starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+            src, dst = [], []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                now = tuple(keys[lo, :3].tolist())
+                if now != key:
+                    key, own, names = now, np.zeros(0, np.uint64), []
+                if not keys[lo, 3]:
+                    own = np.concatenate([own, fps[lo:hi]])
+                    names += reps.slice(lo, hi - lo).to_pylist()
+                    label = np.arange(len(own))
+                    continue
+                for at in range(lo, hi if len(own) else lo, 1024):
+                    some = fps[at : min(hi, at + 1024)]
+                    near = (np.bitwise_count(some[:, None] ^ own) <= radius) & (some[:, None] < own)
+                    for k in np.flatnonzero(near.any(1)).tolist():
+                        found = np.unique(label[near[k]])
+                        probe = reps[at + k].as_py()
+                        for other in found.tolist():
+                            src.append(probe)
+                            dst.append(names[other])
+                        if len(found) > 1:
+                            label[np.isin(label, found)] = found[0]
+            rep = batch.schema.field(5).type
+            yield pa.RecordBatch.from_arrays([pa.array(src, rep), pa.array(dst, rep)], ["src", "dst"])
+
+    rows = a.unionByName(b).repartition(width(spark), "part", "value", "block").sortWithinPartitions("part", "value", "block", "probe")
+    return rows.mapInArrow(run, f"src {kind}, dst {kind}").where("src != dst")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``doc_id, fingerprint`` (16 lowercase hex digits)``, component_id`` for each row.
 
