@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treescan.llm import mixing, packing, passages, simhash, toxicity
+from treescan.llm import mixing, near_copies, packing, passages, toxicity
 from treescan.llm.shared import written
 
-#: Differing bits up to which fingerprints of the second stage link: near copies rather than the closest only.
+#: Not used by a stage any more: what the test of the former second stage, which linked fingerprints, reads.
 RADIUS = 6
 
 
@@ -18,8 +18,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their fingerprints, the one with the smallest doc_id."""
-    return simhash.representatives(docs, RADIUS)
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the smallest doc_id."""
+    return near_copies.representatives(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,129 @@
+"""Near copies among documents: MinHash banding of five-word shingles, verified by exact Jaccard.
+
+1. Every text gets MinHashes of its shingles; the banding is tuned for recall at the threshold.
+   Texts of the same words are one node.
+2. Nodes that share a band key are compared by the exact Jaccard similarity of their shingles,
+   buckets of the same nodes once, large ones in pairs of blocks. Only links of at least the threshold
+   are kept, as stars, not pairs; components are formed of nothing else.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .passages import _P, _Q, BLOCK, JACCARD, SHINGLE, mix, powers, span_hashes, stars, tune
+from .shared import components, give_back, width, written
+from .simhash import first_of_each
+
+#: Of pairs at the threshold so many share a band key; MinHashes of a text at most.
+RECALL, HASHES = 0.999, 30
+
+
+def normal(text: bytes | None) -> bytes:
+    """The words of a text, A-Z lower-cased, with single spaces between."""
+    return b" ".join((text or b"").lower().split())
+
+
+def digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def band_keys(words: bytes, bands: int, rows: int) -> np.ndarray:
+    """Band keys of the five-word shingles of :func:`normal` words; none of an empty text."""
+    if not words:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(words, np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    hashes = span_hashes(raw.astype(np.uint64), _P, np.append(0, gaps + 1), np.append(gaps, len(raw)))
+    size = min(SHINGLE, len(hashes))
+    grams = hashes[: len(hashes) - size + 1].copy()
+    up = powers(_Q, SHINGLE + 1)[0]
+    for k in range(1, size):
+        grams += hashes[k : len(hashes) - size + 1 + k] * up[k]
+    grams = mix(grams)
+    seeds = np.arange(1, bands * rows + 1, dtype=np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F)
+    low = np.full(bands * rows, ~np.uint64(0))
+    for at in range(0, len(grams), 1 << 14):
+        low = np.minimum(low, ((grams[at : at + (1 << 14)] ^ seeds) * np.uint64(0xE7037ED1A0B428DB)).min(1))
+    keys = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys + low[r::rows])
+    return keys.view(np.int64)
+
+
+def near_copies(docs: DataFrame, threshold: float = JACCARD, recall: float = RECALL) -> DataFrame:
+    """``doc_id, component_id`` for each row: the smallest doc_id reachable by links of at least `threshold`.
+
+    Null texts are empty, and empty texts are copies of each other. A text of fewer than five words is one shingle.
+    A null doc_id is never a component_id unless all rows of the same words have none. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    bands, rows = tune(threshold, recall, HASHES)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, keys = [], []
+            for text in batch.column(1).to_pylist():
+                words = normal(text)
+                names.append(digest(words))
+                keys.append(band_keys(words, bands, rows))
+            cols = [batch.column(0), pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "keys"])
+        give_back()
+
+    signs = written(texts.mapInArrow(signed, f"doc_id {kind}, name binary, keys array<long>"))
+    nodes = signs.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).where("rep is not null")
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    keys = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    # buckets of the same nodes are compared once
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).where("n > 1")
+    sizes = sizes.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    buckets = written(keys.join(sizes, "key"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "name", F.col("rep").alias("wanted_id"))
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [normal(x) for x in batch.column(2).to_pylist()]
+            own = pa.array([digest(w) == n for w, n in zip(words, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["node", "words"]).filter(own)
+
+    # a doc_id may have several texts: only the node's own is taken
+    found = texts.join(wanted, texts["doc_id"] == wanted["wanted_id"]).select("node", "name", "text")
+    found = written(found.mapInArrow(worded, "node long, words binary").dropDuplicates(["node"]))
+    members = buckets.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.select("node", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    members = members.join(found, "node").select("key", "i", "j", "block", "node", "words")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, group = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != current:
+                    out += stars(group, threshold)
+                    current, group = row[:3], []
+                group.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in stars(group, threshold)], pa.int64()) for k in (0, 1)], ["src", "dst"])
+        give_back()
+
+    compared = members.repartition(width(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "src long, dst long")
+    joined = components(compared)
+    named = nodes.join(joined, "node", "left").select("name", "rep", F.coalesce("component", "node").alias("group"))
+    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    answers = named.join(least, "group").select("name", "component_id")
+    return signs.join(answers, "name", "left").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id, as :func:`simhash.first_of_each` has it."""
+    return first_of_each(docs, near_copies(docs, **options))

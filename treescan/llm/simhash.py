@@ -317,7 +317,12 @@ def representatives(docs: DataFrame, radius: int = 2) -> DataFrame:
     Of rows with that doc_id the one with the smallest text stays (one of repeated rows). Rows with a null
     doc_id stay.
     """
-    found = near_duplicates(docs, radius).select("doc_id", "component_id").distinct()
+    return first_of_each(docs, near_duplicates(docs, radius))
+
+
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """`docs` without the rows whose doc_id has a smaller component_id in `grouped` (``doc_id, component_id``), one row for each doc_id."""
+    found = grouped.select("doc_id", "component_id").distinct()
     gone = written(found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id != c").select("doc_id"))
     rest = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     # ids of what is left repeat only where a row's id does
