@@ -36,6 +36,19 @@ def test_near_copies_far_apart_in_bits_go(spark):
     assert kept(spark, texts) == {k for k in texts if k % 2 == 0}
 
 
+def test_clean_documents_close_in_bits_stay(spark):
+    rng, texts, near = random.Random(2), {}, 0
+    while near < 20:
+        a = prose(rng, 300)
+        b = list(a)
+        for k in rng.sample(range(300), 14):
+            b[k] = "other"
+        a, b = " ".join(a), " ".join(b)
+        if jaccard(a, b) < 0.75 and bits(a, b) <= 6:
+            texts[2 * near], texts[2 * near + 1], near = a, b, near + 1
+    assert kept(spark, texts) == set(texts)
+
+
 def test_against_brute_force(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
