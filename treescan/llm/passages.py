@@ -1,7 +1,6 @@
 """Near-duplicate paragraphs by MinHash banding, verified by exact Jaccard.
 
-A paragraph is a stretch of a line: it ends with the line, or with a sentence once it has
-`least` words, and very long sentences are cut where a word's hash says so. The cuts depend on
+A paragraph is a stretch of text: it ends with a line or a sentence once it has `least` words, and very long sentences are cut where a word's hash says so. The cuts depend on
 what is near them only, so a passage copied into the middle of other text falls into the same
 paragraphs from its first longer sentence on.
 
@@ -106,10 +105,9 @@ class Units:
         at = np.flatnonzero(kind >= 0)
         first, last, begin = [], [], 0
         for e, k in zip((at + 1).tolist(), kind[at].tolist(), strict=True):
-            if k == 2 or e - begin >= (least if k else LONG):
-                if e - begin >= least:
-                    first.append(begin)
-                    last.append(e)
+            if e - begin >= (least if k else LONG):
+                first.append(begin)
+                last.append(e)
                 begin = e
         if not first:
             return
