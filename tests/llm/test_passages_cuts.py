@@ -21,3 +21,23 @@ def test_a_passage_on_short_lines(spark):
     assert {r["doc_id"] for r in passages.duplicates(df).collect()} == {0, 1}
     kept = {r["doc_id"]: r["text"] for r in passages.cleaned(df).collect()}
     assert kept[0] == texts[0] and len(kept[1].split()) <= len(texts[1].split()) - 30
+
+
+def test_cuts_depend_on_what_is_near_only(spark):
+    rng, texts, n = random.Random(6), {}, 40
+    for k in range(n):
+        passage = " ".join(prose(rng, 60))
+        for copy in range(2):
+            texts[2 * k + copy] = " ".join([*prose(rng, rng.randrange(50, 90)), passage, *prose(rng, rng.randrange(50, 90))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in passages.cleaned(df).collect()}
+    gone = [len(texts[k].split()) - len(kept[k].split()) for k in texts]
+    # a paragraph that is 0.8 similar may hold a few words beside the passage
+    assert not any(gone[::2]) and min(gone[1::2]) > 0 and max(gone) <= 75 and sum(gone) >= 0.65 * 60 * n
+
+
+def test_every_word_is_in_a_paragraph():
+    rng = random.Random(7)
+    for n in (8, 9, 17, 30, 500):
+        u = passages.Units(" ".join(prose(rng, n)).encode(), passages.LEAST, 1, 1)
+        assert {w for a, b in zip(u.first, u.last, strict=True) for w in range(a, b)} == set(range(n)) and min(u.last - u.first) >= passages.LEAST

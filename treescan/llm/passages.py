@@ -1,8 +1,9 @@
 """Near-duplicate paragraphs by MinHash banding, verified by exact Jaccard.
 
-A paragraph is a stretch of text: it ends with a line or a sentence once it has `least` words, and very long sentences are cut where a word's hash says so. The cuts depend on
-what is near them only, so a passage copied into the middle of other text falls into the same
-paragraphs from its first longer sentence on.
+A text is cut before words whose hash (with the word after) is the least among that of the `least` // 2
+words on each side, so the cuts depend on what is near them only, not on lines, sentences or what
+stands before. A paragraph goes from a cut to the one after the next, or from or to an end of the
+text: it has `least` words or more, overlaps its neighbours, and no word is outside of all.
 
 1. Every paragraph of at least `least` words gets MinHashes of its five-word shingles. The banding is
    tuned for recall at the threshold. Band keys of texts not yet seen in a task are exchanged; only
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .shared import components, give_back, width, written
 
 LEAST, SHINGLE, JACCARD, RECALL = 8, 5, 0.8, 0.99
-#: Words after which a sentence may be cut at a word whose hash has its last three bits clear.
-LONG = 16
 BLOCK = 256
+#: MinHashes of a paragraph at most. Overlapping neighbours share words, and bands of few rows pair many of them.
+HASHES = 24
 #: Texts that a task remembers, and bits of the filter at most.
 REMEMBER, FILTER_BITS = 1 << 18, 1 << 26
 
@@ -78,10 +79,18 @@ def tune(threshold: float, recall: float, most: int = 12) -> tuple[int, int]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
-_CLOSE = np.zeros(256, bool)
-_CLOSE[list(b"\"')]}")] = True
+
+
+def local_cuts(values: np.ndarray, reach: int) -> np.ndarray:
+    """Places of values below the `reach` before them and not above the `reach` after them."""
+    n = len(values) - 2 * reach
+    if n < 1:
+        return np.zeros(0, np.int64)
+    own = values[reach : reach + n]
+    least = np.ones(n, bool)
+    for k in range(1, reach + 1):
+        least &= (own < values[reach - k : reach - k + n]) & (own <= values[reach + k : reach + k + n])
+    return np.flatnonzero(least) + reach
 
 
 class Units:
@@ -97,23 +106,11 @@ class Units:
         if n < least:
             return
         words = span_hashes(raw.astype(np.uint64), _P, self.start, self.end)
-        tail = raw[self.end - 1]
-        stop = _STOP[tail] | _CLOSE[tail] & _STOP[raw[np.maximum(self.end - 2, 0)]]
-        breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-        line = np.append(breaks[self.start[1:]] > breaks[self.end[:-1]], True)
-        kind = np.where(line, 2, np.where(stop, 1, np.where(words & np.uint64(7) == 0, 0, -1)))
-        at = np.flatnonzero(kind >= 0)
-        first, last, begin = [], [], 0
-        for e, k in zip((at + 1).tolist(), kind[at].tolist(), strict=True):
-            if e - begin >= (least if k else LONG):
-                first.append(begin)
-                last.append(e)
-                begin = e
-        if not first:
-            return
-        self.first, self.last = np.array(first), np.array(last)
-        self.names = span_hashes(words, _Q, self.first, self.last)
         up = powers(_Q, SHINGLE + 1)[0]
+        bounds = np.concatenate([[0], local_cuts(mix(words[:-1] + words[1:] * up[1]), least // 2), [n]])
+        first, last = (bounds[:-2], bounds[2:]) if len(bounds) > 2 else (bounds[:1], bounds[1:])
+        self.first, self.last = first.astype(np.int64), last.astype(np.int64)
+        self.names = span_hashes(words, _Q, self.first, self.last)
         grams = words[: n - SHINGLE + 1].copy()
         for k in range(1, SHINGLE):
             grams += words[k : n - SHINGLE + 1 + k] * up[k]
@@ -144,12 +141,12 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     docs: ``doc_id, text``; other columns are ignored. Returns a row for each: ``doc_id, row_key``
     (a hash of doc_id and text), ``paragraph`` (its number among those with at least `least` words), ``start, length``
     (code points of the text), ``kept`` (the first of its group by doc_id, row_key and
-    paragraph; null ids come last), ``keep_doc_id, keep_paragraph`` (the group's kept one) and ``group_size``. Words are what stands
+    paragraph; null ids come last; paragraphs overlap, so what repeats is all that lies in any that isn't kept), ``keep_doc_id, keep_paragraph`` (the group's kept one) and ``group_size``. Words are what stands
     between ASCII white space, A-Z lower-cased. Null and empty texts have no paragraphs. Rows
     with the same doc_id and text count as one document.
     """
     spark = docs.sparkSession
-    bands, rows = tune(threshold, recall)
+    bands, rows = tune(threshold, recall, HASHES)
     texts = _ranges(docs)
 
     def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +225,9 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     nodes = found.groupBy("name", "words").agg(F.min(place).alias("place"), F.max(place).alias("end"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     keys = nodes.select("node", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").count().where(F.col("count") > 1)
+    # buckets of the same nodes are compared once
+    sizes = keys.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).where(F.col("count") > 1)
+    sizes = sizes.groupBy("count", "sum", "xor").agg(F.min("key").alias("key"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     members = keys.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     members = members.select("node", "key", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -317,7 +316,7 @@ def cleaned(docs: DataFrame, **options) -> DataFrame:
                     at, parts = 0, []
                     for g in gaps:
                         parts.append(text[at : g["start"]])
-                        at = g["start"] + g["length"]
+                        at = max(at, g["start"] + g["length"])
                     text = "".join([*parts, text[at:]])
                     text = text if text.strip() else None
                 out.append(text)
