@@ -33,8 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4,096 tokens, as pieces of documents."""
-    return packing.pack(docs, with_ids=False)
+    """Sequences of 4,096 tokens, as pieces of documents with their token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [
