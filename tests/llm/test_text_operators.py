@@ -52,6 +52,29 @@ def test_chunk_ids_are_the_librarys(library, docs):
     assert enc.ids([whole.encode() * 3])[0].tolist() == library.encode(whole * 3, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("letters", ["ab", "01"])
+def test_chunks_that_polynomial_hashes_confuse(library, letters):
+    word = "0"
+    for _ in range(11):  # Thue-Morse: equal under any polynomial hash modulo 2**64
+        word += word.translate(str.maketrans("01", "10"))
+    pair = ["x" * 8 + word.translate(str.maketrans("01", x)) for x in (letters, letters[::-1])]
+    enc = tokens.ChunkEncoder(library.to_str())
+    for text, ids in zip(pair, enc.ids([t.encode() for t in pair]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_of_all_lengths_with_common_beginnings(library, monkeypatch):
+    rng = random.Random(9)
+    alphabet = ["a", "b", "\0", "é", ".", ",", " ", "\n", "ß", "1", "漢", "\u0301"]
+    texts = ["".join(rng.choices(alphabet, [9, 9, 2, 1, 1, 1, 3, 1, 1, 1, 1, 1], k=rng.randrange(60))) for _ in range(1500)]
+    texts += [c * n + e for c in "ab" for n in range(40) for e in ("", "a", "\0")]
+    monkeypatch.setattr(tokens, "LONG_BYTES", 500)  # the cache starts anew now and then
+    enc = tokens.ChunkEncoder(library.to_str())
+    for lo in range(0, len(texts), 100):
+        for text, ids in zip(texts[lo : lo + 100], enc.ids([t.encode() for t in texts[lo : lo + 100]]), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def packed_right(rows, wanted, capacity):
     got = {}
     for r in rows:

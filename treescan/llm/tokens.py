@@ -4,7 +4,8 @@ The tokenizers used here lower-case, drop white space and never join pieces acro
 of a text are those of its chunks between ASCII white space, one after the other. A full stop or
 comma between a letter and white space is a chunk of its own, and A-Z are lower-cased before, so
 that chunks repeat more. Each chunk is encoded by the library once per cache; a text is then a
-gather. The tests hold this against the library's ids of whole texts.
+gather. Chunks are told apart by their bytes, never by a hash alone. The tests hold this against
+the library's ids of whole texts.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame
 
 from .shared import written
 
-#: Chunks that one worker keeps; beyond, the cache starts anew. Places of its table.
-CACHE_CHUNKS, PLACES = 5 << 17, 1 << 20
+#: Chunks that one worker keeps; beyond, the cache starts anew. Places of its table. Bytes of a chunk that two words hold
+#: beside its length, and bytes of longer chunks that one worker keeps.
+CACHE_CHUNKS, PLACES, SHORT, LONG_BYTES = 5 << 17, 1 << 20, 15, 1 << 23
 #: Bytes of text that are handled at a time, and words that the library gets as one line.
 STEP_BYTES, LINE = 1 << 18, 256
-_BASE = 0x9E3779B97F4A7C15
 
 
 def default_tokenizer() -> str:
@@ -54,7 +55,8 @@ def normal(text: bytes) -> tuple[bytes, np.ndarray]:
 class ChunkEncoder:
     """A hash table of chunks and their ids, in arrays, so that a whole batch is looked up at once.
 
-    A chunk is told by a 64-bit hash, its first eight bytes and its length.
+    A chunk of at most `SHORT` bytes is two words, its bytes and its length, which are compared whole. Longer
+    chunks are numbered by a dictionary of their bytes.
     """
 
     def __init__(self, blob: str):
@@ -66,33 +68,35 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids that end a piece
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
-        self.up, self.down = (np.full(2 * STEP_BYTES, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        for steps in (self.up, self.down):
-            steps[0] = 1
-            np.cumprod(steps, out=steps)
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.checks, self.slots = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.full(PLACES, -1, np.int32)
+        self.low, self.high, self.slots = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint64), np.full(PLACES, -1, np.int32)
+        self.long, self.long_bytes = {}, 0
         self.start, self.length, self.count = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
         self.flat, self.used = np.zeros(1 << 14, self.dtype), 0
 
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Each chunk's number, or -1."""
-        mask = np.uint64(len(self.keys) - 1)
-        place = (key & mask).astype(np.int64)
+    def place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ high >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Each short chunk's number, or -1."""
+        place = self.place(low, high)
         out = self.slots[place]
-        left = np.flatnonzero((out >= 0) & ((self.keys[place] != key) | (self.checks[place] != check)))
+        left = np.flatnonzero((out >= 0) & ((self.low[place] != low) | (self.high[place] != high)))
         place = place[left]
         while len(left):
-            place = place + 1 & int(mask)
+            place = place + 1 & len(self.slots) - 1
             got = self.slots[place]
             out[left] = got
-            more = (got >= 0) & ((self.keys[place] != key[left]) | (self.checks[place] != check[left]))
+            more = (got >= 0) & ((self.low[place] != low[left]) | (self.high[place] != high[left]))
             left, place = left[more], place[more]
         return out
 
-    def add(self, key: np.ndarray, check: np.ndarray, chunks: list[bytes]) -> None:
+    def add(self, chunks: list[bytes]) -> np.ndarray:
+        """Encode chunks that the cache doesn't have, and number them."""
         coded = self.encode(chunks)
         n = np.fromiter(map(len, coded), np.int64, len(coded))
         total, end = int(n.sum()), self.count + len(n)
@@ -103,15 +107,18 @@ class ChunkEncoder:
         self.start[self.count : end], self.length[self.count : end] = self.used + np.cumsum(n) - n, n
         self.flat[self.used : self.used + total] = np.concatenate(coded)
         self.used += total
-        mask, number = len(self.keys) - 1, np.arange(self.count, end, dtype=np.int32)
+        number = np.arange(self.count, end, dtype=np.int32)
         self.count = end
-        place, left = (key & np.uint64(mask)).astype(np.int64), np.arange(len(key))
+        return number
+
+    def put(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        place, left = self.place(low, high), np.arange(len(low))
         while len(left):  # of those that want one free place, the last written has it
             free = self.slots[place] < 0
             self.slots[place[free]] = number[left[free]]
             won = free & (self.slots[place] == number[left])
-            self.keys[place[won]], self.checks[place[won]] = key[left[won]], check[left[won]]
-            left, place = left[~won], place[~won] + 1 & mask
+            self.low[place[won]], self.high[place[won]] = low[left[won]], high[left[won]]
+            left, place = left[~won], place[~won] + 1 & len(self.slots) - 1
 
     def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
         """By the library. Words of letters are one piece each, so they go as lines that are parted at
@@ -139,28 +146,40 @@ class ChunkEncoder:
         begins = np.cumsum([0, *[len(x) + 1 for x in texts]])
         begins += np.searchsorted(put, begins)
         raw = np.frombuffer(joined, np.uint8)
-        if len(raw) >= len(self.up):  # one chunk may be longer than a step
-            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
         gap = np.concatenate([[True], _BLANKS[raw]])
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         first, last = edge[::2], edge[1::2]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * self.up[: len(raw)])])
-        size = (last - first).astype(np.uint64)
-        key = (total[last] - total[first]) * self.down[first] + size
-        key ^= key >> np.uint64(29)
-        key *= np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(32)
-        eights = np.ndarray(len(raw), "<u8", joined + bytes(8), strides=(1,))
-        short = np.minimum(size, np.uint64(8)) * np.uint64(8)
-        check = (eights[first] << (np.uint64(64) - short)) ^ size * np.uint64(0x94D049BB133111EB)
-        if self.count + len(key) > CACHE_CHUNKS:
+        size = last - first
+        if self.count + len(size) > CACHE_CHUNKS or self.long_bytes > LONG_BYTES:
             self.clear()
-        number = self.find(key, check)
-        if (number < 0).any():
-            fresh = np.flatnonzero(number < 0)
-            one = fresh[np.unique(np.stack([key[fresh], check[fresh]], 1), axis=0, return_index=True)[1]]
-            self.add(key[one], check[one], [joined[a:b] for a, b in zip(first[one].tolist(), last[one].tolist(), strict=True)])
-            number[fresh] = self.find(key[fresh], check[fresh])
+        number = np.full(len(size), -1, np.int32)
+        short = np.flatnonzero(size <= SHORT)
+        if len(short):
+            at, long = first[short], size[short].astype(np.uint64)
+            eights = np.ndarray(len(raw), "<u8", joined + bytes(16), strides=(1,))
+            far = np.ndarray(len(raw), "<u8", joined[8:] + bytes(24), strides=(1,))
+            bits = np.uint64(8)
+            low = eights[at] << (bits - np.minimum(long, bits)) * bits
+            high = far[at] << np.where(long > bits, np.uint64(16) - long, np.uint64(7)) * bits  # the length takes a byte
+            high = np.where(long > bits, high, np.uint64(0)) & ~np.uint64(0xFF) | long
+            found = self.find(low, high)
+            fresh = np.flatnonzero(found < 0)
+            if len(fresh):
+                order = fresh[np.lexsort((low[fresh], high[fresh]))]
+                new = np.append(True, (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]]))
+                one = order[new]
+                ids = self.add([joined[a : a + n] for a, n in zip(at[one].tolist(), long[one].tolist(), strict=True)])
+                self.put(low[one], high[one], ids)
+                found[order] = ids[np.cumsum(new) - 1]
+            number[short] = found
+        rest = np.flatnonzero(size > SHORT)
+        if len(rest):
+            chunks = [joined[a:b] for a, b in zip(first[rest].tolist(), last[rest].tolist(), strict=True)]
+            new = list(dict.fromkeys(c for c in chunks if c not in self.long))
+            if new:
+                self.long.update(zip(new, self.add(new).tolist(), strict=True))
+                self.long_bytes += sum(map(len, new))
+            number[rest] = [self.long[c] for c in chunks]
         n = self.length[number].astype(np.int64)
         ends = np.cumsum(n)
         flat = self.flat[np.repeat(self.start[number] - ends + n, n) + np.arange(int(n.sum()))]
@@ -184,7 +203,10 @@ class ChunkEncoder:
                 parts += self.step([text[:cut]])
                 text = text[cut:]
             out.append(np.concatenate(parts))
-        return out + (self.step(group) if group else [])
+        out += self.step(group) if group else []
+        if self.long_bytes > LONG_BYTES:  # a very long chunk doesn't outlive its batch
+            self.clear()
+        return out
 
 
 _encoders: dict[int, ChunkEncoder] = {}
