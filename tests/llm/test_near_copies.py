@@ -3,12 +3,12 @@
 import random
 
 import corpus_pipeline as pipeline
-from treescan.llm import near_copies, simhash
-from treescan.llm.passages import shingles
+from treescan.llm import buckets, simhash
 
 
 def jaccard(a, b):
-    a, b = (shingles(near_copies.normal(x.encode())) for x in (a, b))
+    a, b = (x.lower().split() for x in (a, b))
+    a, b = ({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in (a, b))
     return len(a & b) / len(a | b)
 
 
@@ -57,14 +57,14 @@ def test_against_brute_force(spark, data):
     for _ in texts:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    assert links and {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(rows).collect()} == label
+    assert links and {r["doc_id"]: r["component_id"] for r in simhash.near_copies(rows).collect()} == label
 
 
 def test_large_buckets_empty_texts_and_repeats(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    monkeypatch.setattr(buckets, "TEXTS", 8)
     rng = random.Random(3)
     base = prose(rng, 200)
     texts = {k: " ".join([*base, f"x{k}"]) for k in range(60)}
     rows = [*texts.items(), (100, None), (101, ""), (102, " \n"), (None, "a null id"), (103, "a null id"), (103, "other words"), (104, "Other  words")]
-    found = {(r["doc_id"], r["component_id"]) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {(k, 0) for k in texts} | {(k, 100) for k in (100, 101, 102)} | {(None, 103), (103, 103), (104, 103)}

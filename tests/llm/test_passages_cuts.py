@@ -38,6 +38,10 @@ def test_cuts_depend_on_what_is_near_only(spark):
 
 def test_every_word_is_in_a_paragraph():
     rng = random.Random(7)
-    for n in (8, 9, 17, 30, 500):
-        u = passages.Units(" ".join(prose(rng, n)).encode(), passages.LEAST, 1, 1)
-        assert {w for a, b in zip(u.first, u.last, strict=True) for w in range(a, b)} == set(range(n)) and min(u.last - u.first) >= passages.LEAST
+    for n in (5, 9, 17, 30, 500):
+        raw = " ".join(prose(rng, n)).encode()
+        u = passages.Units(raw, 1, 1)
+        assert u.first[0] == 0 and u.last[-1] == len(raw) and u.grams.sum() == n - 4
+        assert all(a < b for a, b in zip(u.first[1:], u.last, strict=False)) and (n < 9 or u.grams.min() >= passages.REACH)
+    assert len(passages.Units(b"only four words here", 1, 1).first) == 0
+    assert passages.Units(b"word " * 10_000, 1, 1).grams.max() == passages.MOST  # no cut depends on what is near there

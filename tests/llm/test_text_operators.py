@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from treescan.llm import fingerprint, packing, passages, quality, simhash, token_store, tokens, toxicity
+from treescan.llm import buckets, fingerprint, packing, passages, quality, simhash, token_store, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, given string, component_id long"
 LONG = "word " * 60_000
@@ -205,20 +205,47 @@ def test_simhash_components(docs, radius):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == {a: (f"{x:016x}", wanted[a]) for a, x in fps}
 
 
-@pytest.mark.parametrize("bucket", [1, 8, 4096])
+@pytest.mark.parametrize("block", [1, 8, 1024])
 @pytest.mark.parametrize("parts", [2, 3, 4])
-def test_links_with_full_buckets_and_any_partitions(spark, bucket, parts):
+def test_links_with_blocks_of_any_size_and_any_partitions(spark, block, parts):
     rng = random.Random(parts)
     values = {rng.getrandbits(64) for _ in range(40)}
     near = {v ^ (1 << rng.randrange(64)) for v in values for _ in range(3)} | {v ^ (1 << 3) ^ (1 << rng.randrange(4, 64)) for v in values}
     values = sorted(values | near)
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    nodes = spark.createDataFrame([(v, i) for i, v in enumerate(signed)], "fp long, rep long")
-    found = [(r["src"], r["dst"]) for r in simhash.links(nodes, 2, bucket, parts).collect()]
+    nodes = spark.createDataFrame([(i, bytearray(v.to_bytes(8, "big"))) for i, v in enumerate(values)], "node long, bits binary")
+    found = [(r["src"], r["dst"]) for r in simhash.links(nodes, 2, block, parts).collect()]
     pairs = [(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if bin(a ^ b).count("1") <= 2]
     assert classes(found, range(len(values))) == classes(pairs, range(len(values)))
 
 
+@pytest.mark.parametrize("block", [2, 7, 100])
+@pytest.mark.parametrize("small", [1, 32])
+def test_buckets_connect_as_all_pairs_do(spark, block, small):
+    """Numbers link if they differ by one at most; a bucket has one long chain, others and repeats of other buckets."""
+    rng = random.Random(block)
+    members = {(1, k, k) for k in range(40)} | {(1, 100 + k, 90 + 3 * k) for k in range(20)} | {(k % 5 + 2, 200 + k, rng.randrange(60)) for k in range(60)}
+    near = lambda columns, i, j: np.abs(columns[0][i] - columns[0][j]) <= 1
+    df = spark.createDataFrame(sorted(members), "key long, node long, value long")
+    found = buckets.links(df, ["value"], near, lambda columns: [columns[0].to_numpy()], block, small=small)
+    pairs = [(a[1], b[1]) for a in members for b in members if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 1]
+    nodes = {m[1] for m in members}
+    assert classes([(r["src"], r["dst"]) for r in found.collect()], nodes) == classes(pairs, nodes)
+    assert buckets.links(df.where("false"), ["value"], near, lambda columns: [columns[0].to_numpy()], block).count() == 0
+
+
+def test_a_stretch_at_a_time_is_the_same(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(n)).encode() + b" \n" for n in (0, 1, 2, 3, 4, 50, 500)]
+    whole = [(simhash.fingerprint(t), simhash.normal(t), passages.Units(t, 5, 2)) for t in texts]
+    monkeypatch.setattr(simhash, "STEP", 40)
+    monkeypatch.setattr(passages, "STEP", 60)
+    monkeypatch.setattr(passages, "_powers", {})
+    for t, (fp, words, u) in zip(texts, whole, strict=True):
+        v = passages.Units(t, 5, 2)
+        assert simhash.fingerprint(t) == fp and simhash.normal(t) == words == b" ".join(t.split())
+        assert all(np.array_equal(getattr(u, x), getattr(v, x)) for x in ("first", "last", "grams", "names", "keys"))
+
+
 def test_fingerprint_by_hand():
     import xxhash
 
@@ -238,16 +265,19 @@ def test_simhash_odd_rows(odd):
     assert sorted(str(r["doc_id"]) for r in kept) == ["12", "3", "5", "9", "None"] and kept[0].__fields__ == [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def test_allocation_is_the_cheapest():
+@pytest.mark.parametrize(("gains", "need"), [([[0, 1, 2, 3]] * 4, 3), ([[0, 2, 5, 6], [0, 1, 4, 7], [0, 3, 3, 9], [0, 2, 4, 8]], 11)])
+def test_allocation_is_the_cheapest(gains, need):
     from itertools import product
 
     rng = np.random.default_rng(3)
     costs = [np.concatenate([np.zeros((20, 1)), rng.random((20, 3)).cumsum(1)], axis=1) for _ in range(4)]
-    got = simhash.allocate(costs, 2)
-    assert (got.sum(1) == -1).all()
+    got = simhash.allocate(costs, gains, need)
     for i in range(20):
-        best = min(sum(costs[k][i, t[k] + 1] for k in range(4)) for t in product(range(-1, 3), repeat=4) if sum(t) == -1)
-        assert abs(sum(costs[k][i, got[i, k] + 1] for k in range(4)) - best) < 1e-12
+        gained = lambda t: sum(gains[k][t[k] + 1] for k in range(4))
+        best = min(sum(costs[k][i, t[k] + 1] for k in range(4)) for t in product(range(-1, 3), repeat=4) if gained(t) >= need)
+        assert gained(got[i]) >= need and abs(sum(costs[k][i, got[i, k] + 1] for k in range(4)) - best) < 1e-12
+    with pytest.raises(ValueError):
+        simhash.allocate(costs, gains, 100)
 
 
 def sentence(rng, n, words=400):
@@ -273,16 +303,17 @@ def test_passages_within_other_text(spark):
 
 
 def test_passages_against_brute_force(docs):
-    """All pairs of paragraphs with a Jaccard similarity of 0.8 or more, by whole comparison."""
+    """All pairs of paragraphs with a Jaccard similarity of 0.8 or more, by whole comparison, and their runs."""
     own, seen = {}, {}
     for r in docs.select("doc_id", "text").collect():
         raw = (r["text"] or "").encode()
-        u = passages.Units(raw, passages.LEAST, 1, 1)
+        u = passages.Units(raw, 1, 1)
         for k in range(len(u.first)):
-            words = b" ".join(raw.lower()[u.start[u.first[k]] : u.end[u.last[k] - 1]].split())
+            words = b" ".join(raw.lower()[u.first[k] : u.last[k]].split())
             own[r["doc_id"], k] = words
             seen.setdefault(words, passages.shingles(words))
     texts = list(seen)
+    number = {w: i for i, w in enumerate(texts)}
     by = {}
     for i, w in enumerate(texts):
         for s in seen[w]:
@@ -292,10 +323,29 @@ def test_passages_against_brute_force(docs):
     wanted = classes(close, range(len(texts)))
     size = {}
     for words in own.values():
-        size[wanted[texts.index(words)]] = size.get(wanted[texts.index(words)], 0) + 1
-    repeats = {k for k, words in own.items() if size[wanted[texts.index(words)]] > 1}
+        size[wanted[number[words]]] = size.get(wanted[number[words]], 0) + 1
+    repeats = {k for k, words in own.items() if size[wanted[number[words]]] > 1}
+    runs = set()
+    for doc, k in repeats:
+        a = b = k
+        while (doc, a - 1) in repeats:
+            a -= 1
+        while (doc, b + 1) in repeats:
+            b += 1
+        if sum(len(own[doc, i].split()) - 4 for i in range(a, b + 1)) + 4 >= passages.PASSAGE:
+            runs.add((doc, k))
     found = {(r["doc_id"], r["paragraph"]) for r in passages.duplicates(docs).collect()}
-    assert found <= repeats and len(found) >= 0.99 * len(repeats)
+    assert runs and found <= runs and len(found) >= 0.99 * len(runs)
+
+
+def test_phrases_are_left_alone(spark):
+    rng = random.Random(8)
+    phrase = " ".join(f"p{k}" for k in range(18))
+    texts = {k: " ".join([sentence(rng, 40), phrase, sentence(rng, 40)]) for k in range(6)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert passages.duplicates(df).count() == 0
+    assert {r["doc_id"]: r["text"] for r in passages.cleaned(df).collect()} == texts
+    assert {r["doc_id"] for r in passages.duplicates(df, passage=8).collect()} == set(texts)
 
 
 def test_passages_odd_rows(odd):
@@ -313,19 +363,6 @@ def test_tuned_bands_reach_the_recall():
         passages.tune(0.1, 0.9999, 3)
 
 
-def test_stars_connect_as_pairs_do():
-    rng = random.Random(2)
-    base = [f"a{rng.randrange(50)}" for _ in range(60)]
-    group = []
-    for k in range(30):
-        words = list(base)
-        words[rng.randrange(60)] = f"b{k}"
-        group.append((k % 2, k, " ".join(words).encode()))
-    sets = [passages.shingles(g[2]) for g in group]
-    pairs = [(i, j) for i in range(30) for j in range(i) if group[i][0] != group[j][0] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert classes(passages.stars(group, 0.8), range(30)) == classes(pairs, range(30))
-
-
 def test_toxicity_of_unseen_spellings(spark, odd):
     rng = random.Random(9)
     vocabulary = ["".join(rng.choices("bdfgklmnprst", k=2)) + rng.choice("aeiou") + rng.choice("nrst") for _ in range(300)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_points, part_of, width
+from .shared import cut_points, mapped, part_of, width
 
 BUCKETS = 256
 #: Offsets of the bytes that make a triplet with a window's first byte, and a factor for each.
@@ -85,7 +85,7 @@ def digests(docs: DataFrame, column: str = "text") -> DataFrame:
             found = pa.array([digest(x or b"") for x in batch.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["given", "fingerprint"])
 
-    out = rows.mapInArrow(run, f"given {rows.schema['given'].dataType.simpleString()}, fingerprint string")
+    out = mapped(rows, run, f"given {rows.schema['given'].dataType.simpleString()}, fingerprint string")
     return out.select("given.*", "fingerprint")
 
 
@@ -139,7 +139,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
             kinds = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return both.mapInArrow(run, schema)
+    return mapped(both, run, schema)
 
 
 def op2_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut_points, part_of, width
+from .shared import cut_points, mapped, part_of, width
 from .tokens import default_tokenizer, id_width, tokenized
 
 #: Hashed vector's size, dimensions of the curve, bits of each: 4 x 10 bits of a 63-bit key.
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.binary()) for c in cols[7:]], names)
 
     moved = table.select("doc_id", "part", "ids", "place", "row_id").repartitionById(len(points) + 1, F.col("part"))
-    return moved.sortWithinPartitions("place", "row_id").drop("place", "row_id").mapInArrow(run, schema)
+    return mapped(moved.sortWithinPartitions("place", "row_id").drop("place", "row_id"), run, schema)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

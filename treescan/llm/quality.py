@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import mapped, written
 
 NAMES = (
     "bytes", "words", "word_mean", "word_spread", "upper", "lower", "digit", "space", "comma_stop", "bang", "pipe", "mark", "wide",
@@ -141,7 +141,7 @@ def measured(docs: DataFrame) -> DataFrame:
             stats = [features(x or b"").astype(np.float32) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float32()))], ["given", "stats"])
 
-    out = rows.mapInArrow(run, f"given {rows.schema['given'].dataType.simpleString()}, stats array<float>")
+    out = mapped(rows, run, f"given {rows.schema['given'].dataType.simpleString()}, stats array<float>")
     return out.select("given.*", "stats")
 
 
@@ -169,7 +169,7 @@ def scored(stats: DataFrame, trees: Trees, threshold: float = 0.3) -> DataFrame:
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, len(NAMES)), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.score(x), pa.float64())], ["given", "score"])
 
-    out = rows.mapInArrow(run, f"given {rows.schema['given'].dataType.simpleString()}, score double")
+    out = mapped(rows, run, f"given {rows.schema['given'].dataType.simpleString()}, score double")
     return out.select("given.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -7,22 +7,20 @@ committers, so a lost executor costs the tasks it ran and nothing else.
 from __future__ import annotations
 
 import ctypes
+import math
 import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset, below a temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="treescan-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/treescan/{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors see."""
+    return scratch_path(spark)
 
 
 #: Rows of a batch that Python gets while a table is written: texts are long, and both sides hold a batch.
@@ -51,6 +49,18 @@ def give_back() -> None:
             trim(0)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)``; a task gives its memory back when it ends, since the worker lives on."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def width(spark: SparkSession) -> int:
     """Parts for a large exchange: the session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -73,8 +83,13 @@ def part_of(col: Column, points: list, descending: bool = False) -> Column:
     """The part of `col` among ascending cut points (a point starts its part)."""
     if not points:
         return F.lit(0)
-    points = F.array(*[F.lit(p) for p in points])
-    n = F.size(F.filter(points, (lambda p: p >= col) if descending else (lambda p: p <= col)))
+    # two levels, so that a row meets about twice the root of their number
+    step = math.isqrt(len(points) - 1) + 1
+    counted = (lambda p: p >= col) if descending else (lambda p: p <= col)
+    ranked = points[::-1] if descending else points
+    coarse = F.size(F.filter(F.array(*[F.lit(p) for p in ranked[::step]]), counted))
+    fine = F.slice(F.array(*[F.lit(p) for p in ranked]), F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
+    n = F.when(coarse == 0, 0).otherwise((coarse - 1) * step + F.size(F.filter(fine, counted)))
     return n.cast("int")
 
 
@@ -85,8 +100,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Returns ``node, component``; only nodes with an edge (and `nodes`, one column ``node``).
 
     Alternating large-star and small-star steps: a step rewires each node's neighbours to the
-    smallest one, so chains halve and a star keeps one row for each leaf. No group is ever
-    gathered: both steps are a min per node and an equi-join with it.
+    smallest one, so chains halve and a star keeps one row for each leaf. Both steps are a min per node and
+    an equi-join with it. The mins of the large step are written first, so that both sides of its join are plain
+    exchanges and a node with very many neighbours is split by the adaptive planner.
     """
     spark = edges.sparkSession
     e = (
@@ -98,7 +114,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        low = written(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
         # large star: neighbours above the node go to its smallest neighbour
         large = (
             both.where("dst > src")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back
+from .shared import give_back, mapped
 
 NGRAMS, BUCKET_BITS, DIM, SMOOTH = (3, 4, 5, 6), 17, 16, 400
 STEP = 1 << 17
@@ -195,23 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2500) -> Model:
     return Model(np.frombuffer(got["table"], np.float32), got["bias"]) if got else train([], np.zeros(0), prior)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The columns of `docs` with ``score`` and ``predicted`` (replaced if there are such).
+def judged(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """``given`` (a struct of the columns of `docs`, whatever their names), ``given_score`` and ``given_predicted`` of each row.
 
-    Null texts count as empty; an empty text has no n-grams and gets the score of the bias.
+    Null texts count as empty; an empty text has no n-grams and gets the score of the bias. Repeated rows get the same
+    answer each. Long texts are read a stretch at a time. An empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("given"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"), F.col("text").cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
             score = pa.array([own.score(x or b"") for x in batch.column(1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), score], ["given", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), score], ["given", "given_score"])
+
+    out = mapped(rows, run, f"given {rows.schema['given'].dataType.simpleString()}, given_score double")
+    return out.select("given", "given_score", (F.col("given_score") >= threshold).cast("int").alias("given_predicted"))
 
-    out = rows.mapInArrow(run, f"given {rows.schema['given'].dataType.simpleString()}, score double")
-    return out.select("given.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The columns of `docs` with ``score`` and ``predicted`` (replaced if there are such), as :func:`judged` has them."""
+    keep = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    out = judged(docs.select(*[F.col(f"`{c}`") for c in keep]), model, threshold)
+    return out.select("given.*", F.col("given_score").alias("score"), F.col("given_predicted").alias("predicted"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
