@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treescan.llm import embeddings, mixing, url_filter
+from treescan.llm import shared
 from treescan.llm.shared import components
 
 
@@ -152,8 +153,10 @@ def test_list_decoding_is_complete():
         assert sorted(got.tolist()) == want
 
 
+@pytest.mark.parametrize("edges", [15, 1 << 20])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "empty"])
-def test_components(spark, shape):
+def test_components(spark, shape, edges, monkeypatch):
+    monkeypatch.setattr(shared, "EDGES", edges)
     rng = random.Random(6)
     pairs = {"chain": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 50)], "empty": [], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]}[shape]
     label = {n: n for p in pairs for n in p}

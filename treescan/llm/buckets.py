@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import components, mapped, width, written
 
 #: Texts of a block.
-TEXTS = 256
+TEXTS = 1024
 #: near(columns, i, j): for arrays of row numbers, whether row i links with row j.
 Near = Callable[[list, np.ndarray, np.ndarray], np.ndarray]
 
@@ -166,16 +166,28 @@ def links(members: DataFrame, payload: list[str], near: Near, prepare: Callable[
     return found.unionByName(compared(stay.unionByName(move)))
 
 
-def jaccard(threshold: float, common: Callable) -> Near:
-    """Exact, for a column of sets without repeats; common(a, b) tells how many both have."""
+def numbered(sets: list[np.ndarray]) -> list:
+    """What :func:`jaccard` reads: sets (arrays without repeats) with their elements numbered."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    names, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    return [np.split(flat, np.cumsum(sizes)[:-1]), sizes, np.zeros(len(names), bool)]
+
+
+def jaccard(threshold: float) -> Near:
+    """Exact Jaccard similarity of at least `threshold`, for :func:`numbered` sets that aren't empty."""
 
     def near(columns: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        sets, out = columns[0], np.zeros(len(i), bool)
-        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-            a, b = sets[x], sets[y]
-            if min(len(a), len(b)) >= threshold * max(len(a), len(b)):
-                both = common(a, b)
-                out[k] = both >= threshold * (len(a) + len(b) - both)
+        sets, sizes, mark = columns
+        out = np.zeros(len(i), bool)
+        like = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
+        for k in np.unique(i[like]).tolist():
+            at = np.flatnonzero(like & (i == k))
+            mark[sets[k]] = True
+            found = mark[np.concatenate([sets[x] for x in j[at].tolist()])]
+            mark[sets[k]] = False
+            ends = np.cumsum(sizes[j[at]])
+            both = np.add.reduceat(found, ends - sizes[j[at]], dtype=np.int64)
+            out[at] = both >= threshold * (sizes[k] + sizes[j[at]] - both)
         return out
 
     return near

@@ -20,14 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, width, written
+from .shared import cache, components, mapped, width, written
 
 #: Expected filters of a vector, over all rotations; vectors of a block; unrelated vectors in a filter.
 FILTERS, ROTATIONS, BLOCK, LOAD = 72, 4, 512, 0.25
+#: Codes that a worker keeps.
+KEPT = 8
+
+
+_codes: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = cache("embeddings")
 
 
 def codes(dim: int, size: int, rotation: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation, and unit codewords of both halves."""
+    """Rotation, and unit codewords of both halves; a task keeps those of its vectors."""
+    if (key := (dim, size, rotation)) not in _codes:
+        if len(_codes) >= KEPT:
+            _codes.clear()
+        _codes[key] = _made(dim, size, rotation)
+    return _codes[key]
+
+
+def _made(dim: int, size: int, rotation: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([dim, size, rotation])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     half = (dim + 1) // 2
@@ -142,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                         cols = [np.full(sum(n), d, np.int32), np.concatenate(found), np.repeat(names[at], n)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["dim", "filter", "node"])
 
-    hits = written(nodes.select("node", "vec").mapInArrow(passed, "dim int, filter long, node long"))
+    hits = written(mapped(nodes.select("node", "vec"), passed, "dim int, filter long, node long", "embeddings"))
     filters = written(hits.groupBy("dim", "filter").count().where(F.col("count") > 1))
     busy = hits.join(filters, ["dim", "filter"])
     # a node's list is bounded by what its vector passes
@@ -185,13 +198,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
             yield out
 
     sorted_ = members.repartition(width(spark), "dim", "filter", "i", "j").sortWithinPartitions("dim", "filter", "i", "j")
-    found = written(sorted_.select("dim", "filter", "i", "j", "node", "copies", "vec", "own", "block").mapInArrow(verify, "node long, links long, root long"))
+    found = written(mapped(sorted_.select("dim", "filter", "i", "j", "node", "copies", "vec", "own", "block"), verify, "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
     named = nodes.select("node", "vec_id", "copies", "h", "vec").join(links, "node", "left").join(joined, "node", "left")
     named = written(named.select("h", "vec", "vec_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    first = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    answers = named.join(first, "component").select("h", "vec", "n_links", "component_id")
+    # written, so that the planner can split what many rows share
+    first = written(named.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    answers = written(named.join(first, "component").select("h", "vec", "n_links", "component_id"))
     linked = rows.join(answers.withColumnRenamed("vec", "same"), (rows["h"] == answers["h"]) & (F.col("vec") == F.col("same")), "left")
     component = F.when(F.col("same").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return linked.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

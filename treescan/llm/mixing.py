@@ -145,7 +145,8 @@ def domain_of() -> Column:
 
 
 def target(spark) -> DataFrame:
-    return spark.createDataFrame(TARGET, "domain string, lang string, source string, weight double")
+    rows = ", ".join("(" + ", ".join("CAST(NULL AS STRING)" if v is None else f"{v!r}" if isinstance(v, str) else f"{v}D" for v in row) + ")" for row in TARGET)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS target(domain, lang, source, weight)")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

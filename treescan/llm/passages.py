@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import buckets
-from .shared import components, mapped, width, written
+from .shared import cache, components, mapped, written
 
 SHINGLE, JACCARD, RECALL, REACH, MOST, PASSAGE = 5, 0.8, 0.99, 4, 4096, 24
 #: Bytes of text at a time; places for band keys that a task remembers; bits of the filter at most, so many for each of its names.
@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = cache("passages")
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def _company(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                 cols = [np.concatenate([x[~known], sure, sure]).view(np.int64) for x in (key_, name_)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "name"])
 
-    keyed = mapped(texts.select("text"), run, "key long, name long")
+    keyed = mapped(texts.select("text"), run, "key long, name long", "passages")
     # one has company if a row with its key comes before or after
     beside = "first(1) over (partition by key order by name rows between {0} and {0})"
     near = keyed.selectExpr("name", f"coalesce({beside.format('1 preceding')}, {beside.format('1 following')}) other")
@@ -309,7 +309,7 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [x.split()[0] for x in schema.split(", ")])
 
-    found = written(mapped(texts, of_interest, schema))
+    found = written(mapped(texts, of_interest, schema, "passages"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "paragraph")
     nodes = found.groupBy("name", "words").agg(F.min(place).alias("place"), F.max(place).alias("end"), F.count("*").alias("n"))
     nodes = written(nodes.join(shared, "name", "left_semi").withColumn("node", F.monotonically_increasing_id()))
@@ -321,13 +321,12 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
             node = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["node", "key"])
 
-    keys = written(mapped(nodes.select("node", "words"), keys_of, "node long, key long").distinct())
+    keys = written(mapped(nodes.select("node", "words"), keys_of, "node long, key long", "passages").distinct())
     # buckets of the same nodes are compared once
     sizes = keys.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).where(F.col("count") > 1)
     sizes = sizes.groupBy("count", "sum", "xor").agg(F.min("key").alias("key")).select("key")
     members = written(keys.join(sizes, "key").join(nodes.select("node", "words"), "node").select("key", "node", "words"))
-    near = buckets.jaccard(threshold, lambda a, b: len(a & b))
-    edges = buckets.links(members, ["words"], near, lambda columns: [[shingles(w) for w in columns[0].to_pylist()]], buckets.TEXTS)
+    edges = buckets.links(members, ["words"], buckets.jaccard(threshold), _numbered, buckets.TEXTS)
     joined = components(edges)
     named = written(nodes.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node")))
     # a node whose two ends differ has two places at least
@@ -352,6 +351,11 @@ def _keys(words: bytes, bands: int, rows: int) -> np.ndarray:
     return band_keys(gram_hashes(spans(np.frombuffer(words, np.uint8))[2]), np.zeros(1, np.int64), bands, rows)[0]
 
 
+def _numbered(columns: list) -> list:
+    number: dict[bytes, int] = {}
+    return buckets.numbered([np.array([number.setdefault(x, len(number)) for x in shingles(w)], np.uint64) for w in columns[0].to_pylist()])
+
+
 def shingles(words: bytes) -> frozenset[bytes]:
     w = words.split(b" ")
     return frozenset(b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1)))

@@ -11,6 +11,7 @@ import math
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +50,22 @@ def give_back() -> None:
             trim(0)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow(run, schema)``; a task gives its memory back when it ends, since the worker lives on."""
+#: What a worker keeps from task to task, by the operator that uses it.
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """A dictionary that a worker keeps while its tasks use it."""
+    return _caches.setdefault(name, {})
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, uses: str = "") -> DataFrame:
+    """``df.mapInArrow(run, schema)``; a task drops what other operators keep, and gives its memory back when it ends, since the worker lives on."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, kept in _caches.items():
+            if name != uses:
+                kept.clear()
         try:
             yield from run(batches)
         finally:
@@ -93,26 +106,67 @@ def part_of(col: Column, points: list, descending: bool = False) -> Column:
     return n.cast("int")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """The smallest node each node is connected to.
+#: Edges of a part that :func:`components` contracts at once.
+EDGES = 1 << 20
+
+
+def contracted(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges, but the smallest of its component, and that one."""
+    names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (label[a], label[b], a, b):
+            np.minimum.at(new, end, low)
+        while True:
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        if (new == label).all():
+            break
+        label = new
+    rest = np.flatnonzero(label != np.arange(len(names)))
+    return names[rest], names[label[rest]]
 
-    edges: ``src, dst`` of one orderable type, in any direction, repeats allowed.
-    Returns ``node, component``; only nodes with an edge (and `nodes`, one column ``node``).
 
-    Alternating large-star and small-star steps: a step rewires each node's neighbours to the
-    smallest one, so chains halve and a star keeps one row for each leaf. Both steps are a min per node and
-    an equi-join with it. The mins of the large step are written first, so that both sides of its join are plain
-    exchanges and a node with very many neighbours is split by the adaptive planner.
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        src, dst = contracted(*(table.column(k).to_numpy().astype(np.int64) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            yield done()
+            held, rows = [], 0
+    if rows:
+        yield done()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the smallest node each node with an edge is connected to.
+
+    edges: ``src, dst`` (long), in any direction, repeats allowed. Null nodes can't be. No edges give no rows.
+
+    Parts of at most `EDGES` edges are contracted to stars each; where all edges are one part, that is the answer.
+    Otherwise alternating large-star and small-star steps connect the parts' stars: a step rewires each
+    node's neighbours to the smallest one, so chains halve and a star keeps one row for each leaf. Both steps are a
+    min per node and an equi-join with it. The mins of the large step are written first, so that both sides of its join
+    are plain exchanges and a node with very many neighbours is split by the adaptive planner.
     """
-    spark = edges.sparkSession
-    e = (
-        edges.where(F.col("src") != F.col("dst"))
-        .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        .distinct()
-    )
-    e = written(e)
+    e = written(edges.where(F.col("src") != F.col("dst")))
+    parts = max(1, -(-e.count() // EDGES))
+    e = written(mapped(e.repartition(parts), _contract, "src long, dst long"))
     seen = None
-    while True:
+    while parts > 1:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = written(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low")))
         # large star: neighbours above the node go to its smallest neighbour
@@ -148,8 +202,4 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             break
         seen = state
     out = e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    out = out.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
-    if nodes is not None:
-        rest = nodes.select("node").distinct().join(out.select("node"), "node", "left_anti")
-        out = out.unionByName(rest.select("node", F.col("node").alias("component")))
-    return out
+    return out.unionByName(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

@@ -37,7 +37,7 @@ from .shared import components, mapped, width, written
 
 SEED = 42
 #: Members of a block; bytes of text at a time; lanes of a fingerprint that candidates carry for a first check.
-BLOCK, STEP, CHECK = 1024, 1 << 20, 2
+BLOCK, STEP, CHECK = 1024, 1 << 20, 5
 #: The similarity of near copies: words of a shingle, Jaccard, share of the pairs at it that are found, bytes of text in a block.
 SHINGLE, JACCARD, RECALL, BLOCK_BYTES = 5, 0.8, 0.98, 1 << 22
 _BLANK = re.compile(rb"[\x20\t-\r]")
@@ -268,9 +268,9 @@ def similar(threshold: float, recall: float, n: int) -> Aim:
 
 
 def candidates(nodes: DataFrame, aim: Aim) -> DataFrame:
-    """``key, node, probe, bits`` (the first lanes): members of buckets. Two that share a key are candidates if one of them probes it.
+    """``key, node, probe, bits, size`` (bits: the first lanes): members of buckets. Two that share a key are candidates if one of them probes it.
 
-    nodes: ``node`` long, and ``bits`` of `aim.lanes` lanes.
+    nodes: ``node, size`` long, and ``bits`` of `aim.lanes` lanes.
     """
     spark, lanes, top = nodes.sparkSession, aim.lanes, aim.top
     n = nodes.count()
@@ -319,7 +319,7 @@ def candidates(nodes: DataFrame, aim: Aim) -> DataFrame:
     masks = [[ball(len(g), t) for t in range(top + 1)] for _, g in groups]
     gains = [[0, *(aim.gain(len(g), t) for t in range(top + 1))] for _, g in groups]
     need, weight, check = aim.need, 0.1 if lanes == 1 else 0.005, min(lanes, CHECK)
-    names = ["key", "node", "probe", "bits"]
+    names = ["key", "node", "probe", "bits", "size"]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -339,7 +339,7 @@ def candidates(nodes: DataFrame, aim: Aim) -> DataFrame:
                 picked = allocate(costs, gains, need)
                 for i, (_, g) in enumerate(groups):
                     base = i << max(len(x) for _, x in groups)
-                    yield pa.RecordBatch.from_arrays([pa.array(values[i] + base), pa.array(node), pa.array(picked[:, i] >= 0), short], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(values[i] + base), pa.array(node), pa.array(picked[:, i] >= 0), short, batch.column(2)], names)
                     for t in range(1, top + 1):
                         at = np.flatnonzero(picked[:, i] == t)
                         reach = masks[i][t][masks[i][t] > 0]
@@ -348,21 +348,24 @@ def candidates(nodes: DataFrame, aim: Aim) -> DataFrame:
                             some = at[first : first + step]
                             own = np.repeat(some, len(reach))
                             key = (values[i][some, None] ^ reach).ravel() + base
-                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[own]), pa.array(np.ones(len(key), bool)), short.take(pa.array(own))], names)
+                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[own]), pa.array(np.ones(len(key), bool)), short.take(pa.array(own)), batch.column(2).take(pa.array(own))], names)
 
-    rows = nodes.select("node", "bits").repartition(width(spark))  # few bytes, much work
-    return mapped(rows, members, "key long, node long, probe boolean, bits binary")
+    rows = nodes.select("node", "bits", "size").repartition(width(spark))  # few bytes, much work
+    return mapped(rows, members, "key long, node long, probe boolean, bits binary, size long")
 
 
-def near_bits(radius: int):
-    """For buckets: columns of probes and lanes."""
+def near_bits(radius: int, ratio: float = 0.0):
+    """For buckets: columns of probes, lanes and sizes."""
 
     def prepare(columns: list) -> list:
-        return [columns[0].to_numpy(zero_copy_only=False), lanes_of(columns[1])]
+        return [columns[0].to_numpy(zero_copy_only=False), lanes_of(columns[1]), columns[2].to_numpy()]
 
     def near(columns: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        probe, lanes = columns
-        return (np.bitwise_count(lanes[i] ^ lanes[j]).sum(1) <= radius) & (probe[i] | probe[j])
+        probe, lanes, size = columns
+        out = (probe[i] | probe[j]) & (np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]))
+        at = np.flatnonzero(out)
+        out[at] = np.bitwise_count(lanes[i[at]] ^ lanes[j[at]]).sum(1) <= radius
+        return out
 
     return near, prepare
 
@@ -373,8 +376,8 @@ def links(nodes: DataFrame, radius: int = 2, block: int = BLOCK, parts: int | No
     nodes: ``node`` long, and ``bits``, all different.
     """
     near, prepare = near_bits(radius)
-    rows = written(candidates(nodes, within(radius, nodes.count(), parts)))
-    return buckets.links(rows, ["probe", "bits"], near, prepare, block, small=32, step=64)
+    rows = written(candidates(nodes.withColumn("size", F.lit(0).cast("long")), within(radius, nodes.count(), parts)))
+    return buckets.links(rows, ["probe", "bits", "size"], near, prepare, block, small=32, step=64)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -410,12 +413,6 @@ def shingle_set(words: bytes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, size)]))
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many elements two ordered arrays without repeats share."""
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
 def near_copies(docs: DataFrame, threshold: float = JACCARD, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, component_id`` for each row: the smallest doc_id reachable by links of at least the Jaccard `threshold` on word shingles.
 
@@ -431,21 +428,23 @@ def near_copies(docs: DataFrame, threshold: float = JACCARD, recall: float = REC
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, bits = [], []
+            names, bits, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 words = normal(text)
                 names.append(hashlib.blake2b(words, digest_size=16).digest())
-                bits.append(stored_lanes(majority([shingle_set(words, shingle)], aim.lanes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "row_key", "name", "bits"])
+                own = shingle_set(words, shingle)
+                sizes.append(len(own))
+                bits.append(stored_lanes(majority([own], aim.lanes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "row_key", "name", "bits", "size"])
 
-    signs = written(mapped(texts, signed, f"doc_id {kind}, row_key long, name binary, bits binary"))
-    nodes = signs.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("bits").alias("bits"))
+    signs = written(mapped(texts, signed, f"doc_id {kind}, row_key long, name binary, bits binary, size long"))
+    nodes = signs.groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("row_key").alias("row_key"), F.first("bits").alias("bits"), F.first("size").alias("size"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-    # what differs by far more bits than such pairs do isn't compared: five standard deviations beyond
+    # what differs by far more bits or in size than such pairs do isn't compared: 3.5 standard deviations beyond the mean
     size, flip = 64 * min(aim.lanes, CHECK), differing(threshold)
-    near, prepare = near_bits(ceil(size * flip + 5 * (size * flip * (1 - flip)) ** 0.5))
-    rows = written(candidates(nodes.select("node", "bits"), aim))
-    loose = components(buckets.links(rows, ["probe", "bits"], near, prepare, BLOCK, small=32, step=64))
+    near, prepare = near_bits(ceil(size * flip + 3.5 * (size * flip * (1 - flip)) ** 0.5), threshold)
+    rows = written(candidates(nodes.select("node", "bits", "size"), aim))
+    loose = components(buckets.links(rows, ["probe", "bits", "size"], near, prepare, BLOCK, small=32, step=64))
     members = written(loose.join(nodes.select("node", "name", "row_key"), "node").select(F.col("component").alias("key"), "node", "name", "row_key"))
 
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,8 +457,8 @@ def near_copies(docs: DataFrame, threshold: float = JACCARD, recall: float = REC
     found = texts.select("row_key", "text").join(members, "row_key").select("key", "node", "name", "text")
     found = written(mapped(found, worded, "key long, node long, words binary").dropDuplicates(["node"]))
     blocks = F.ceil(F.greatest(F.count("*") / buckets.TEXTS, F.sum(F.length("words")) / BLOCK_BYTES))
-    sets = lambda columns: [[shingle_set(w, shingle) for w in columns[0].to_pylist()]]
-    edges = buckets.links(found, ["words"], buckets.jaccard(threshold, common), sets, buckets.TEXTS, blocks)
+    sets = lambda columns: buckets.numbered([shingle_set(w, shingle) for w in columns[0].to_pylist()])
+    edges = buckets.links(found, ["words"], buckets.jaccard(threshold), sets, buckets.TEXTS, blocks)
     answers = written(grouped(nodes.select("node", "name", "rep"), edges).select("name", "component_id"))
     return signs.join(answers, "name", "left").select("doc_id", "component_id")
 

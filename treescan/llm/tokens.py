@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import mapped, written
+from .shared import cache, mapped, written
 
 #: Chunks that one worker keeps; beyond, the cache starts anew. Places of its table. Bytes of a chunk that two words hold
 #: beside its length, and bytes of longer chunks that one worker keeps.
@@ -209,7 +209,7 @@ class ChunkEncoder:
         return out
 
 
-_encoders: dict[int, ChunkEncoder] = {}
+_encoders: dict[int, ChunkEncoder] = cache("tokens")
 
 
 def encoder(blob: str) -> ChunkEncoder:
@@ -246,7 +246,7 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int, extra=None, extra_sche
 
     rows = df.selectExpr("monotonically_increasing_id() row_id", "doc_id", "cast(text as binary) text")
     schema = f"row_id long, doc_id {kind}, n_tokens long, ids binary" + (f", {extra_schema}" if extra_schema else "")
-    return written(mapped(rows, run, schema))
+    return written(mapped(rows, run, schema, "tokens"))
 
 
 def id_width(tokenizer: str) -> int:
