@@ -1,6 +1,8 @@
 import os
+import socket
 
 import pytest
+from pyspark.sql import functions as F
 
 from treescan import cli
 from treescan.operators import dedup
@@ -27,6 +29,17 @@ def tree(tmp_path):
     return root
 
 
+@pytest.fixture
+def low(tmp_path):
+    root = tmp_path / "low"
+    (root / "d0" / "d1" / "d2").mkdir(parents=True)
+    (root / "d0" / "d1" / "d2" / "end").write_text("x")
+    (root / "a.txt").write_text("a")
+    (root / "ring").symlink_to(root)
+    os.mkfifo(root / "pipe")
+    return root
+
+
 def real(root):
     return sorted(os.path.join(d, x) for d, dirs, files in os.walk(root) for x in dirs + files)
 
@@ -68,23 +81,90 @@ def test_long_paths_are_left_out(tmp_path):
         os.close(f)
 
 
-def test_resume_trust_and_clean(spark, tree, tmp_path):
-    base, path = str(tmp_path / "ledger"), str(tree)
+def test_resume_trust_and_clean(spark, low, tmp_path):
+    base, path = str(tmp_path / "ledger"), str(low)
     first = scan(spark, Options(path, ledger=base, include_dirs=True))
-    assert first.dir_count + first.file_count == len(real(tree)) == first.lines.count()
+    assert first.dir_count + first.file_count == len(real(low)) == first.lines.count()
     again = scan(spark, Options(path, ledger=base, resume=True))
     assert again.dir_count + again.file_count == 0
-    (tree / "new").write_text("n")
+    (low / "new").write_text("n")
     fresh = scan(spark, Options(path, ledger=base, resume=True, archive=False))
     assert [r["name"] for r in fresh.entries.collect()] == ["new"]
     late = scan(spark, Options(path, ledger=base, resume=True, skip_interval=60, now=2**33, include_dirs=True))
-    assert {r["stat_src"] for r in late.entries.collect()} == {"history"} and late.entries.count() == len(real(tree))
+    sources = {r["name"]: r["stat_src"] for r in late.entries.collect()}
+    # a listing doesn't tell a pipe's type, so it is asked for
+    assert {k for k, v in sources.items() if v != "history"} == {"pipe"} and late.entries.count() == len(real(low))
     with pytest.raises(ValueError):
-        scan(spark, Options(str(tree / "empty"), ledger=base, resume=True))
+        scan(spark, Options(str(low / "d0"), ledger=base, resume=True))
     scan(spark, Options(path, ledger=base, clean=True))
     assert not Ledger(spark, base).runs
 
 
+def test_listing_asks_for_no_status(tree, monkeypatch):
+    asked = []
+    monkeypatch.setattr(os, "lstat", lambda *a, **b: asked.append(a))
+    rows = list(filesystem.named(str(tree), 1))
+    assert not asked and {r[2]: r[5] for r in rows} == {"a.txt": 8, ".hidden": 8, 'q"u,o': 8, "ring": 10, "dangling": 10, "pipe": 0, "empty": 4, "d0": 4}
+    monkeypatch.undo()
+    assert all(r[4] == os.lstat(r[0]).st_ino and r[3] == os.lstat(r[0]).st_dev for r in rows)
+
+
+def test_a_scan_that_broke_off_goes_on(spark, low, tmp_path):
+    base, path = str(tmp_path / "ledger"), str(low)
+    ledger = Ledger(spark, base)
+    ledger.start(path, resume=False)
+    levels = filesystem.scan_levels(spark, path)
+    for k in range(2):
+        ledger.append(next(levels)[0], k)
+    with open(f"{base}/lock", "w") as f:  # of a process that is gone
+        f.write(f"{socket.gethostname()} 999999999")
+    frontier, level = ledger.frontier()
+    assert {r["path"] for r in frontier.collect()} == {f"{low}/d0/d1"} and level == 2
+    (low / "later").write_text("in a directory that was listed: not listed again")
+    rest = scan(spark, Options(path, ledger=base, resume=True, include_dirs=True))
+    below = [x for x in real(low) if x.startswith(f"{low}/d0/d1/")]
+    assert sorted(r["path"] for r in rest.entries.collect()) == below and rest.complete
+    assert ledger.frontier() is None and {r["level"] for r in ledger.runs} == set(range(4))
+    assert [r["name"] for r in scan(spark, Options(path, ledger=base, resume=True)).entries.collect()] == ["later"]
+
+
+def test_devices_that_fail(spark, low, tmp_path, monkeypatch):
+    """A directory whose device fails is parked, the scan is incomplete, and a resumed one goes on there."""
+    base, path, bad = str(tmp_path / "ledger"), str(low), f"{low}/d0/d1"
+    listing = filesystem.list_frontier
+
+    def failing(frontier):
+        rows = listing(frontier.where(F.col("path") != bad))
+        lost = frontier.where(F.col("path") == bad).selectExpr("path", "'' parent", "'' name", "dev", "0L ino", "4 d_type", "'EIO' error")
+        return rows.unionByName(lost)
+
+    monkeypatch.setattr(filesystem, "list_frontier", failing)
+    broken = scan(spark, Options(path, ledger=base, include_dirs=True))
+    assert not broken.complete and [(r["path"], r["error"]) for r in broken.skipped.collect()] == [(bad, "EIO")]
+    ledger = Ledger(spark, base)
+    assert ledger.session["status"] == "Incomplete" and [r["path"] for r in ledger.parked().collect()] == [bad]
+    with pytest.raises(OSError):
+        filesystem.scan(spark, path)
+    monkeypatch.undo()
+    rest = scan(spark, Options(path, ledger=base, resume=True, include_dirs=True))
+    assert sorted(r["path"] for r in rest.entries.collect()) == [x for x in real(low) if x.startswith(bad + "/")] and rest.complete
+    assert ledger.parked().count() == 0 and ledger.succeeded
+
+
+def test_device_errors_are_told_from_others(tmp_path, monkeypatch):
+    import errno
+
+    def fails(code):
+        def stat(*_, **__):
+            raise OSError(code, "x")
+        return stat
+
+    for code, rows in ((errno.EIO, 1), (errno.ETIMEDOUT, 1), (errno.EACCES, 0), (errno.ENOENT, 0)):
+        monkeypatch.setattr(os, "scandir", fails(code))
+        got = list(filesystem.named(str(tmp_path), 7))
+        assert len(got) == rows and all(r[0] == str(tmp_path) and r[3] == 7 and r[6] == errno.errorcode[code] for r in got)
+
+
 def test_ledger_slices_lock_and_compaction(spark, tree, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"), 5)
     entries = filesystem.scan(spark, str(tree))

@@ -82,6 +82,10 @@ def main(argv: list[str] | None = None) -> int:
         for line in printed(result.lines):
             print(line)
     logging.info("%d directories, %d files", result.dir_count, result.file_count)
+    if not result.complete:
+        for row in result.skipped.toLocalIterator():
+            logging.error("not scanned: %s (device %d, %s)", row["path"], row["dev"], row["error"])
+        return 1
     return 0
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import template
-from ..operators import counters, dedup, history
-from ..schema import KEY
+from ..operators import counters, dedup
 from ..sinks import text as sink
 from ..sources import filesystem
 from ..sources.ledger import Ledger
@@ -58,36 +57,52 @@ class Options:
 
 @dataclass
 class Result:
+    """skipped: directories (``path, dev, error``) left out because their device fails; with any, the scan is incomplete."""
+
     entries: DataFrame
     lines: DataFrame
     dir_count: int
     file_count: int
+    skipped: DataFrame
+    complete: bool
 
 
 def scan(spark: SparkSession, o: Options) -> Result:
     """Scan, and write what the options name.
 
-    A resumed scan returns what its ledger hasn't seen. After a scan that succeeded, with a skip
-    interval, all entries are returned, and those that history lets trust have its values
-    and zeros in place of asking again. The ledger gets a run of what is new.
+    The ledger gets each level as soon as it is whole. A resumed scan returns what its ledger hasn't seen; one whose first scan broke
+    off goes on with the directories that weren't listed, and lists no other. After a scan that succeeded, with a skip
+    interval, all entries are returned, and those that history lets trust are not asked for: they have its values
+    and zeros. Directories of devices that fail go to the skip ledger, and the session ends as Incomplete.
     """
     o.check()
     ledger = Ledger(spark, o.ledger, o.slice_rows) if o.ledger else None
     succeeded = bool(ledger and o.resume and ledger.succeeded)
+    begin = ledger.frontier() if ledger and o.resume else None
     if ledger:
         ledger.start(o.path, o.resume, o.archive, output=o.output, output_split=o.output_split, csv=o.csv, clean=o.clean)
     try:
         letters = template.letters_of(o.template)
-        found = filesystem.scan(spark, o.path, o.follow, "X" in letters)
-        new = found
-        if ledger and o.resume:
-            known = stored(ledger.history())
-            new = dedup.unseen(found, known)
-            if succeeded and o.skip_interval > 0:
-                found = history.trusted_rows(found, known, o.now or _now(), o.skip_interval)
-            else:
-                found = new
-        found = stored(found)
+        known = stored(ledger.history()) if ledger and o.resume else None
+        trust = filesystem.Trust(known, o.now or _now(), o.skip_interval) if succeeded and o.skip_interval > 0 else None
+        start = None
+        if begin:
+            start = filesystem.Start(stored(begin[0]), begin[1])
+            ledger.unpark()
+        all_rows = trust is not None or known is None
+        found, skipped = None, None
+        for level, (rows, parked) in enumerate(filesystem.scan_levels(spark, o.path, o.follow, "X" in letters, trust=trust, start=start), begin[1] if begin else 0):
+            new = rows if known is None else stored(dedup.unseen(rows, known))
+            if ledger:
+                ledger.append(new, level)
+            if parked is not None:
+                if ledger:
+                    ledger.park(parked)
+                skipped = parked if skipped is None else skipped.unionByName(parked)
+            rows = rows if all_rows else new
+            found = rows if found is None else found.unionByName(rows)
+        complete = skipped is None
+        found, skipped = (spark.createDataFrame([], kind) if x is None else x for x, kind in ((found, filesystem.LISTED + ", stat_src string"), (skipped, filesystem.PARKED)))
         rows = dedup.emitted(found, o.include_dirs)
         if letters & {"u", "g"}:
             users, groups = filesystem.owners(spark)
@@ -102,13 +117,12 @@ def scan(spark: SparkSession, o: Options) -> Result:
             sink.directory_log(found, o.dir_log)
         counts = counters.scan_counts(found).first()
         if ledger:
-            ledger.append(new)
-            if o.archive:
+            if o.archive and complete:
                 ledger.compact()
-            ledger.finish()
-            if o.clean:
+            ledger.finish(*(() if complete else ("Incomplete", "devices failed")))
+            if o.clean and complete:
                 ledger.clean()
-        return Result(rows, lines, counts["dir_count"], counts["file_count"])
+        return Result(rows, lines, counts["dir_count"], counts["file_count"], skipped, complete)
     except BaseException:
         if ledger:
             ledger.finish("Incomplete", "the scan broke off")
@@ -119,8 +133,3 @@ def _now() -> int:
     import time
 
     return int(time.time())
-
-
-def resumed_frontier(known: DataFrame) -> DataFrame:
-    """Directories that a resumed scan lists first: those of its ledger."""
-    return known.where("d_type = 4").select(*KEY)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import socket
 import time
 import uuid
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.modes import d_type
 from ..operators.history import latest
 from ..operators.ranking import numbered
-from ..schema import HISTORY, KEY, LEDGER
+from ..schema import HISTORY, KEY, LEDGER, SKIPPED
 
 
 class Ledger:
@@ -62,13 +63,28 @@ class Ledger:
                 if old.get(name) != now:
                     raise ValueError(f"the ledger is of {name} {old.get(name)!r}, not {now!r}")
         os.makedirs(self.base, exist_ok=True)
-        try:
-            os.close(os.open(f"{self.base}/lock", os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise RuntimeError(f"another scan holds {self.base}/lock") from None
+        self._take_lock()
         if not resume:
             self._replace("manifest.json", {"runs": []})
-        self._replace("session.json", {**settings, "path": path, "archive": archive, "status": "Running", "start_time": int(time.time())})
+        # of a first scan, which goes on where it broke off; its runs are whole levels
+        first = not self.runs or bool(old.get("first") and old.get("status") != "Success")
+        self._replace("session.json", {**settings, "path": path, "archive": archive, "first": first, "status": "Running", "start_time": int(time.time())})
+
+    def _take_lock(self) -> None:
+        """One scan at a time; the lock of a process of this machine that is gone is taken over."""
+        path, own = f"{self.base}/lock", f"{socket.gethostname()} {os.getpid()}"
+        for _ in range(2):
+            try:
+                with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(own)
+                return
+            except FileExistsError:
+                with open(path, encoding="utf-8") as f:
+                    host, _, pid = f.read().partition(" ")
+                if host != socket.gethostname() or not pid.isdigit() or os.path.exists(f"/proc/{pid}"):
+                    break
+                os.remove(path)
+        raise RuntimeError(f"another scan holds {path}")
 
     def finish(self, status: str = "Success", error: str | None = None) -> None:
         self._replace("session.json", {**self.session, "status": status, "end_time": int(time.time()), **({"error": error} if error else {})})
@@ -82,8 +98,9 @@ class Ledger:
     def succeeded(self) -> bool:
         return self.session.get("status") == "Success"
 
-    def append(self, entries: DataFrame) -> int:
-        """Add a run's entries as slices of `slice_rows` rows, numbered on from those there are. No rows, no run."""
+    def append(self, entries: DataFrame, level: int | None = None) -> int:
+        """Add a run's entries as slices of `slice_rows` rows, numbered on from those there are. No rows, no run. level: theirs, if
+        they are all there is of one."""
         first = 1 + max((r["last_slice"] for r in self.runs), default=-1)
         name = f"run-{uuid.uuid4().hex}"
         rows = entries.select(*KEY, "mtime", d_type(F.col("mode")).alias("d_type"))
@@ -92,10 +109,43 @@ class Ledger:
         placed.write.parquet(f"{self.base}/{name}")
         n = self.spark.read.parquet(f"{self.base}/{name}").count()
         if n:
-            run = {"name": name, "rows": n, "first_slice": first, "last_slice": first + (n - 1) // self.slice_rows}
-            self._replace("manifest.json", {"runs": [*self.runs, run]})
+            run = {"name": name, "rows": n, "first_slice": first, "last_slice": first + (n - 1) // self.slice_rows, "level": level}
+            self._replace("manifest.json", {**self._read("manifest.json"), "runs": [*self.runs, run]})
+        return n
+
+    def park(self, directories: DataFrame) -> int:
+        """Add directories (``path, dev``) that wait for their device to the skip ledger."""
+        name = f"skipped-{uuid.uuid4().hex}"
+        rows = directories.select("path", "dev", F.lit(int(time.time())).cast("bigint").alias("blacklist_time"), F.lit(0).alias("retry_count"), F.lit(5).cast("bigint").alias("probe_interval"), F.lit(4).alias("d_type"), F.lit(0).alias("s_status"))
+        rows.write.parquet(f"{self.base}/{name}")
+        n = self.spark.read.parquet(f"{self.base}/{name}").count()
+        if n:
+            manifest = self._read("manifest.json")
+            self._replace("manifest.json", {**manifest, "runs": self.runs, "skipped": [*manifest.get("skipped", []), name]})
         return n
 
+    def parked(self) -> DataFrame:
+        """The skip ledger: a row for each directory that waits."""
+        paths = [f"{self.base}/{x}" for x in self._read("manifest.json").get("skipped", [])]
+        return self.spark.read.schema(SKIPPED).parquet(*paths).dropDuplicates(["path"]) if paths else self.spark.createDataFrame([], SKIPPED)
+
+    def unpark(self) -> None:
+        """Forget the directories that waited: they are in a frontier again."""
+        self._replace("manifest.json", {**self._read("manifest.json"), "runs": self.runs, "skipped": []})
+
+    def frontier(self) -> tuple[DataFrame, int] | None:
+        """Of a first scan that broke off: the directories (``path, dev``) that weren't listed yet, and their entries' level.
+
+        They are those of the last level that is in the ledger, and those that wait for a device without being condemned.
+        """
+        old = self.session
+        levels = [r["level"] for r in self.runs]
+        if not self.runs or None in levels or not old.get("first") or old.get("status") == "Success":
+            return None
+        last = self.spark.read.schema(LEDGER).parquet(*[f"{self.base}/{r['name']}" for r in self.runs if r["level"] == max(levels)])
+        waiting = self.parked().where("s_status != 1")
+        return last.where("d_type = 4").select("path", "dev").unionByName(waiting.select("path", "dev")).distinct(), max(levels) + 1
+
     def read(self) -> DataFrame:
         """All rows, with ``slice, line``."""
         paths = [f"{self.base}/{r['name']}" for r in self.runs]
@@ -116,7 +166,8 @@ class Ledger:
         n = self.spark.read.parquet(f"{self.base}/{name}").count()
         if n != sum(r["rows"] for r in old):
             raise RuntimeError(f"compaction wrote {n} rows of {sum(r['rows'] for r in old)}")
-        self._replace("manifest.json", {"runs": [{"name": name, "rows": n, "first_slice": old[0]["first_slice"], "last_slice": max(r["last_slice"] for r in old)}]})
+        run = {"name": name, "rows": n, "first_slice": old[0]["first_slice"], "last_slice": max(r["last_slice"] for r in old), "level": None}
+        self._replace("manifest.json", {**self._read("manifest.json"), "runs": [run]})
 
     def clean(self) -> None:
         """Remove the ledger."""
