@@ -93,3 +93,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "seq bigint, dev bigint, ok boolean")
     assert devices.folded(none).count() == 0
     assert counters.rates(spark.createDataFrame([], "ts bigint, total bigint")).count() == 0
+
+
+def test_slices_end_at_the_first_wide_gap(spark):
+    ids = [*range(40), *range(91, 120), *range(171, 300)]  # 51 missing, then 51 more
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    assert sorted(r["id"] for r in counters.slices_before_gap(df).collect()) == list(range(40))
+    assert counters.slices_before_gap(df, 51).count() == len(ids)
+
+
+def test_a_device_with_a_failure_now_and_then_is_healthy(spark):
+    rows = [(k, 1, k % 5 != 0) for k in range(1, 100)] + [(k, 2, k < 90) for k in range(1, 100)] + [(k, 3, k < 98) for k in range(1, 100)]
+    got = {r["dev"]: (r["state"], r["failures"]) for r in devices.folded(spark.createDataFrame(rows, "seq bigint, dev bigint, ok boolean"), 9).collect()}
+    assert got == {1: ("NORMAL", 0), 2: ("CONDEMNED", 10), 3: ("DEAD", 2)}

@@ -137,7 +137,7 @@ def symlink_resolution(spark, d):
 
 # --- devices and control ------------------------------------------------------------------------
 
-_FOLD = """fold0 AS (SELECT *, type <> 'ERROR' AS ok FROM control WHERE type IN ('ERROR', 'FINISH') AND dev <> 4 OR dev = 4 AND type IN ('ERROR', 'FINISH') AND seq % 997 = 0),
+_FOLD = """fold0 AS (SELECT *, type <> 'ERROR' AS ok FROM control WHERE type IN ('ERROR', 'FINISH')),
 fold1 AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY dev ORDER BY seq) AS run FROM fold0),
 streak AS (SELECT dev, run, count(*) AS n FROM fold1 WHERE NOT ok GROUP BY dev, run),
 worst AS (SELECT dev, max(n) AS worst FROM streak GROUP BY dev),
@@ -153,7 +153,7 @@ def _with_devices(sql: str) -> str:
 
 def _devices(spark, d) -> DataFrame:
     c = ns.control(spark, d)
-    probes = c.where("type in ('ERROR', 'FINISH') and (dev <> 4 or seq % 997 = 0)")
+    probes = c.where("type in ('ERROR', 'FINISH')")
     return devices.folded(probes.select("seq", "dev", (F.col("type") != "ERROR").alias("ok")), LIMIT)
 
 
@@ -349,10 +349,10 @@ def fmt_csv_default(spark, d):
     return _lines(ns.entries(spark, d), spark, d, template.CSV, csv=True)
 
 
-@query(f"""SELECT {_csv('coalesce(text, chr(0))', 'CAST(n_chars AS VARCHAR)')} AS value FROM documents WHERE text IS NOT NULL""", views=False)
+@query(f"""SELECT {_csv("coalesce(text, '')", 'CAST(n_chars AS VARCHAR)')} AS value FROM documents""", views=False)
 def fmt_csv_texts(spark, d):
     """K2 X6 on texts with quotes and line ends."""
-    docs = ns.table(spark, d, "documents").where("text is not null").select(F.col("text").alias("path"), F.col("n_chars").alias("size"))
+    docs = ns.table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("path"), F.col("n_chars").alias("size"))
     return docs.select(template.compiled("%p,%s", csv=True).alias("value"))
 
 
@@ -501,12 +501,11 @@ def ledger_cutoff(spark, d):
     return _ledger(spark, d).where("slice < 2 or slice = 2 and line < 1234").select("path", "slice", "line")
 
 
-@query("""SELECT id FROM (SELECT id, max(CASE WHEN missing > 50 THEN 1 ELSE 0 END) OVER (ORDER BY id) AS stopped FROM
-  (SELECT id, id - coalesce(lag(id) OVER (ORDER BY id), -1) - 1 AS missing FROM (SELECT DISTINCT o_orderkey % 4000 AS id FROM orders WHERE o_orderkey % 4000 < 900 OR o_orderkey % 4000 BETWEEN 951 AND 1500 OR o_orderkey % 4000 > 1560))) WHERE stopped = 0""", views=False)
+@query(f"""WITH {ns.SQL},\n{_LEDGER} SELECT id FROM (SELECT id, max(CASE WHEN missing > 50 THEN 1 ELSE 0 END) OVER (ORDER BY id) AS stopped FROM
+  (SELECT id, id - coalesce(lag(id) OVER (ORDER BY id), -1) - 1 AS missing FROM (SELECT DISTINCT slice AS id FROM ledger))) WHERE stopped = 0""", views=False)
 def slice_gap_stop(spark, d):
     """Slices up to the first gap of more than fifty ids."""
-    id_ = F.col("o_orderkey") % 4000
-    ids = ns.table(spark, d, "orders").select(id_.alias("id")).where("id < 900 or id between 951 and 1500 or id > 1560").distinct()
+    ids = _ledger(spark, d).select(F.col("slice").alias("id")).distinct()
     return counters.slices_before_gap(ids)
 
 

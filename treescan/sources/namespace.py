@@ -134,13 +134,13 @@ files0 AS (
       CASE l_returnflag WHEN 'N' THEN {FILE_MODES["N"]} WHEN 'A' THEN {FILE_MODES["A"]} WHEN 'R' THEN {FILE_MODES["R"]} END AS mode, nth
     FROM lines0 JOIN p3 ON l_orderkey = o_orderkey)
 ),
-entries AS (
+entries AS MATERIALIZED (
   SELECT path, parent, name, true AS is_dir, level, dev, ino, CAST(4096 AS BIGINT) AS size, CAST(mtime AS BIGINT) + 86400 AS atime, CAST(mtime AS BIGINT) AS mtime,
     CAST(mtime AS BIGINT) AS ctime, CAST(0 AS BIGINT) AS uid, CAST(0 AS BIGINT) AS gid, {DIR_MODE} AS mode FROM dirs0
   UNION ALL SELECT * EXCLUDE (nth) FROM files0 WHERE nth = 1
 ),
 typed AS (SELECT *, CASE mode & 61440 WHEN 32768 THEN 8 WHEN 16384 THEN 4 WHEN 40960 THEN 10 ELSE 0 END AS d_type FROM entries),
-history AS (SELECT path, dev, ino, mtime, d_type FROM typed WHERE mtime < {HISTORY_BEFORE}),
+history AS MATERIALIZED (SELECT path, dev, ino, mtime, d_type FROM typed WHERE mtime < {HISTORY_BEFORE}),
 users AS (SELECT s_suppkey AS uid, s_name AS user_name FROM supplier WHERE s_suppkey % 10 <> 0),
 groups AS (SELECT CAST(n_nationkey AS BIGINT) AS gid, n_name AS group_name FROM nation),
 control AS (
