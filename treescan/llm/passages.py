@@ -317,9 +317,10 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # words alone have the shingles they had within their text, as one paragraph
-            keys = [_keys(w, bands, rows) for w in batch.column(1).to_pylist()]
-            node = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))], ["node", "key"])
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                node = np.repeat(part.column(0).to_numpy(), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_keys(part.column(1).to_pylist(), bands, rows).ravel().view(np.int64))], ["node", "key"])
 
     keys = written(mapped(nodes.select("node", "words"), keys_of, "node long, key long", "passages").distinct())
     # buckets of the same nodes are compared once
@@ -346,9 +347,15 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     )
 
 
-def _keys(words: bytes, bands: int, rows: int) -> np.ndarray:
-    """Band keys of a paragraph given by its words with single spaces between."""
-    return band_keys(gram_hashes(spans(np.frombuffer(words, np.uint8))[2]), np.zeros(1, np.int64), bands, rows)[0]
+def _keys(texts: list[bytes], bands: int, rows: int) -> np.ndarray:
+    """Band keys of paragraphs given by their words with single spaces between, five or more."""
+    begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    start, _, words = spans(np.frombuffer(b"\n".join(texts), np.uint8))
+    edges = np.searchsorted(start, begins)
+    count = np.diff(edges) - SHINGLE + 1
+    first = np.cumsum(count) - count
+    word = np.repeat(edges[:-1] - first, count) + np.arange(int(count.sum()))
+    return np.ascontiguousarray(band_keys(gram_hashes(words)[word], first, bands, rows))
 
 
 def _numbered(columns: list) -> list:
