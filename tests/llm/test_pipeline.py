@@ -123,3 +123,31 @@ def test_packing(steps):
 
 def test_whole_run(spark, data, steps):
     assert pipeline.run(spark, data).count() == steps[4][1].count()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, given string, row_key long, notes map<string,string>"
+ROWS = [
+    (7, None, None, None, None, 1.0, "g", 5, {"a": "b"}), (3, "", "en", "s", 0, None, None, None, None), (5, "one two", "en", "s", 7, None, None, None, {}),
+    (5, "one two", "en", "s", 7, None, None, None, {}), (5, "other words", "en", "s", 7, None, None, None, None), (None, "no id here", "en", "s", 9, None, None, None, None),
+    (None, None, None, None, None, None, None, None, None), (9, "word " * 30_000, "en", "s", 150_000, None, None, None, None), (11, "  \n\t ", "en", "s", 5, None, None, None, None),
+]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_odd_rows_and_empty_tables(spark, data, number):
+    docs, stage = spark.createDataFrame(ROWS, ODD), pipeline.STAGES[number][1]
+    got = stage(spark, docs, data).collect()
+    if number < 4:
+        assert stage(spark, docs, data).columns == docs.columns
+    ids = Counter(r["doc_id"] for r in got)
+    if number == 1:  # empty texts are copies; of doc 5 the smallest text stays; null ids stay
+        assert ids == Counter({3: 1, 5: 1, None: 2, 9: 1}) and [r["text"] for r in got if r["doc_id"] == 5] == ["one two"]
+    elif number == 2:  # the long text repeats itself; all others stay as they are
+        assert sum(ids.values()) == len(ROWS)
+        assert Counter((r["doc_id"], r["text"]) for r in got if r["doc_id"] != 9) == Counter(x[:2] for x in ROWS if x[0] != 9)
+        assert all(0 < r["n_chars"] == len(r["text"]) < 150_000 for r in got if r["doc_id"] == 9)
+    elif number == 4:
+        assert set(ids) == {x[0] for x in ROWS} and sum(r["start"] == 0 for r in got) == len(ROWS)
+    else:
+        assert set(ids) <= {x[0] for x in ROWS}
+    assert stage(spark, docs.where("false"), data).count() == 0

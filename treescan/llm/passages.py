@@ -282,7 +282,7 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     (code points of the text), ``kept`` (the first of its group by doc_id, row_key and
     paragraph; null ids come last), ``keep_doc_id, keep_paragraph`` (the group's kept one) and ``group_size``.
     Paragraphs overlap by four words; what repeats is all that lies in any that isn't kept. Words are what stands
-    between ASCII white space, A-Z lower-cased. Null and empty texts and those of fewer than five words have no paragraphs. Rows
+    between ASCII white space, A-Z lower-cased. What a document repeats of itself counts as well. Null and empty texts and those of fewer than five words have no paragraphs. Rows
     with the same doc_id and text count as one document. An empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -482,8 +482,10 @@ def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     if not repeats.take(1):
         return rest
     own = rest.join(repeats, "doc_id", "left_semi").select(*rest.columns)
-    first = own.groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).alias("m"))
-    return rest.join(repeats, "doc_id", "left_anti").select(*rest.columns).unionByName(first.select("m.row.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # as JSON any column can be ordered, a map too
+    first = own.groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), F.col("text"), F.to_json(row))).alias("first"))
+    return rest.join(repeats, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(first.select("first.*"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
