@@ -65,3 +65,23 @@ def test_small_texts(spark):
 
 def test_backoff(spark):
     assert [r[0] for r in spark.range(9).select(text.backoff(F.col("id"))).collect()] == [5, 10, 20, 40, 80, 160, 300, 300, 300]
+
+
+def test_a_bounded_copy_keeps_characters_whole(spark):
+    for value in ("", "abc", "aé", "éé", "日本語", "a🌳b", "🌳🌳", "x" * 40):
+        for size in (1, 2, 3, 4, 5, 6, 7, 8, 9, 40, 41):
+            wanted = value.encode()[: size - 1].decode("utf-8", "ignore")
+            assert spark.range(1).select(text.bounded(F.lit(value), size)).first()[0] == wanted, (value, size)
+    assert spark.range(1).select(text.bounded(F.lit(None).cast("string"), 4)).first()[0] is None
+    with pytest.raises(ValueError):
+        text.bounded(F.lit("a"), 0)
+
+
+def test_local_times(spark):
+    row = spark.createDataFrame([(1_700_000_000,)], "mtime bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert row.select(template.compiled("%m"), template.compiled("%m", local=True)).first()[:] == ("2023-11-14 22:13:20", "2023-11-15 07:13:20")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -106,3 +106,25 @@ def test_a_device_with_a_failure_now_and_then_is_healthy(spark):
     rows = [(k, 1, k % 5 != 0) for k in range(1, 100)] + [(k, 2, k < 90) for k in range(1, 100)] + [(k, 3, k < 98) for k in range(1, 100)]
     got = {r["dev"]: (r["state"], r["failures"]) for r in devices.folded(spark.createDataFrame(rows, "seq bigint, dev bigint, ok boolean"), 9).collect()}
     assert got == {1: ("NORMAL", 0), 2: ("CONDEMNED", 10), 3: ("DEAD", 2)}
+
+
+def test_start_up_takes_longer_than_a_heartbeat(spark):
+    rows = [(1, 100, "READY"), (2, 100, "READY"), (2, 101, "HEARTBEAT"), (3, 70, "READY"), (4, 131, "FINISH"), (5, 39, "READY"), (5, 90, "BATCH")]
+    events = spark.createDataFrame(rows, "worker int, ts bigint, type string")
+    for now, late in ((131, {3: True, 5: True}), (130, {5: True}), (132, {2: True, 3: True, 5: True}), (160, {2: True, 3: True, 5: True}), (161, {1: True, 2: True, 3: True, 5: True})):
+        got = {r["worker"]: True for r in control.timeouts(events, F.lit(now)).where("timed_out").collect()}
+        assert got == late, now
+    assert control.timeouts(events.limit(0), F.lit(1)).count() == 0
+
+
+def test_panel_lines(spark):
+    scan = spark.createDataFrame([(2, 3, 61)], "dirs bigint, files bigint, age bigint")
+    state = spark.createDataFrame([(1, 0)], "dead bigint, condemned bigint")
+    workers = spark.createDataFrame([(0, "BUSY", "/home/anna/pictures/2020/may", 4), (1, "DEAD", None, 0)], "worker int, state string, path string, open bigint")
+    rates = spark.createDataFrame([(1.6, 7.2)], "rate double, peak_rate double")
+    probes = spark.createDataFrame([(7, "/mnt/x1")], "dev bigint, path string")
+    assert [r["value"] for r in counters.panel(scan, state, workers, rates, probes).collect()] == [
+        "directories 2, files 3", "elapsed 0d 00:01:01", "devices dead 1, condemned 0", "workers 1 of 2, tasks pending 4",
+        "worker 0 BUSY .../***a/***s/***0/***y", "worker 1 DEAD -", "rate 2 an hour, most 7", "probe of device 7 /***t/***1",
+    ]
+    assert counters.panel(scan, state, workers.limit(0)).count() == 4

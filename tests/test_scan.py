@@ -206,3 +206,20 @@ def test_command_line(spark, tree, capsys):
     for bad in (["-p", str(tree), "-o", "a", "-O", "b"], ["-p", str(tree), "-Z", "-C"], ["-p", "/none/here"], ["-p", str(tree), "-R", "x"]):
         with pytest.raises(SystemExit):
             cli.options(bad)
+
+
+def test_cursor_and_status_lines(spark, low, tmp_path):
+    base = str(tmp_path / "state")
+    scan(spark, Options(str(low), ledger=base, output_split=str(tmp_path / "out"), slice_rows=2))
+    ledger = Ledger(spark, base, 2)
+    files, n = 4, len(real(low))
+    at = ledger.cursor
+    assert (at.entries, at.output_slice, at.output_line) == (n, files // 2, 2) and at.slice == ledger.runs[-1]["last_slice"]
+    keys = [x.partition("=")[0] for x in ledger.settings]
+    assert keys == ["path", "output_split", "start_time", "archive", "clean", "csv", "status", "status", "end_time"]
+    assert [x for x in ledger.settings if x.startswith("status")] == ["status=Running", "status=Success"]
+    for broken in ("1 2 3 4", "1 2 x 4 5", ""):
+        (tmp_path / "state" / "cursor").write_text(broken)
+        assert ledger.cursor is None
+    ledger.clean()
+    assert ledger.cursor is None and ledger.settings == []

@@ -20,7 +20,7 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-#: What each letter stands for.
+#: What each letter stands for; times are seconds until a clock is known.
 FIELDS: dict[str, Callable[[], Column]] = {
     "p": lambda: F.col("path"),
     "s": lambda: _text("size"),
@@ -28,15 +28,16 @@ FIELDS: dict[str, Callable[[], Column]] = {
     "g": lambda: text.owner(F.col("group_name"), F.col("gid")),
     "U": lambda: _text("uid"),
     "G": lambda: _text("gid"),
-    "m": lambda: text.clock(F.col("mtime")),
-    "a": lambda: text.clock(F.col("atime")),
-    "c": lambda: text.clock(F.col("ctime")),
+    "m": lambda: F.col("mtime"),
+    "a": lambda: F.col("atime"),
+    "c": lambda: F.col("ctime"),
     "t": lambda: modes.type_label(F.col("mode")),
     "i": lambda: _text("ino"),
     "o": lambda: modes.mode_string(F.col("mode")),
     "O": lambda: modes.mode_octal(F.col("mode")),
     "X": lambda: F.col("xattr"),
 }
+TIMES = {"m", "a", "c"}
 #: Switches in the order in which they come, and their letters.
 SWITCHES = {"size": "s", "user": "u", "group": "g", "mtime": "m", "atime": "a", "ctime": "c", "mode": "o", "inode": "i", "xattr": "X"}
 
@@ -70,9 +71,10 @@ def letters_of(template: str) -> set[str]:
     return {x for kind, x in parts_of(template) if kind == "field"}
 
 
-def compiled(template: str = DEFAULT, csv: bool = False, quote: bool = False) -> Column:
-    """The line of a row. csv puts each field in quotes and doubles quotes within; quote, over which csv
+def compiled(template: str = DEFAULT, csv: bool = False, quote: bool = False, local: bool = False) -> Column:
+    """The line of a row. local: times in the session's time zone, else UTC. csv puts each field in quotes and doubles quotes within; quote, over which csv
     goes, doesn't double them. Needs the columns that the template names."""
     wrap = text.csv_field if csv else text.quoted if quote else (lambda c: c)
-    columns = [wrap(FIELDS[x]()) if kind == "field" else F.lit(x) for kind, x in parts_of(template)]
+    clock = text.local_clock if local else text.clock
+    columns = [wrap(clock(FIELDS[x]()) if x in TIMES else FIELDS[x]()) if kind == "field" else F.lit(x) for kind, x in parts_of(template)]
     return F.concat(*columns) if columns else F.lit("")

@@ -11,6 +11,11 @@ def clock(seconds: Column) -> Column:
     return F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), "yyyy-MM-dd HH:mm:ss")
 
 
+def local_clock(seconds: Column) -> Column:
+    """The same in the session's time zone, which is the machine's unless it is set."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+
+
 def csv_field(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
@@ -30,6 +35,19 @@ def shortened(text: Column, width: int = 20) -> Column:
     return F.when(F.length(text) > width, F.concat(F.lit("..."), F.right(text, F.lit(width)))).otherwise(text)
 
 
+def bounded(text: Column, size: int) -> Column:
+    """What fits into `size` bytes with one for the end: at most ``size - 1`` bytes of UTF-8, and no part of a character."""
+    if size < 1:
+        raise ValueError("the end takes one byte")
+    raw, n = text.cast("binary"), size - 1
+
+    def goes_on(k: int) -> Column:  # whether byte k belongs to a character that began before
+        return F.substring(raw, k, 1).between(F.lit(b"\x80"), F.lit(b"\xbf")) if k > 0 else F.lit(False)
+
+    fit = F.when(~goes_on(n + 1), n).when(~goes_on(n), n - 1).when(~goes_on(n - 1), n - 2).otherwise(n - 3)
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.substring(raw, F.lit(1), F.greatest(fit, F.lit(0))).cast("string"))
+
+
 def elapsed(seconds: Column) -> Column:
     """Days, hours, minutes and seconds: ``1d 02:03:04``."""
     s = seconds.cast("bigint")

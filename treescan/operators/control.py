@@ -19,6 +19,17 @@ def gaps(events: DataFrame, limit: int) -> DataFrame:
     return events.withColumn("gap", F.col("ts") - F.lag("ts").over(by)).where(F.col("gap") > limit)
 
 
+def timeouts(events: DataFrame, now: Column, limit: int = 30, startup: int = 60) -> DataFrame:
+    """``worker, last, silence, timed_out`` at `now`: who hasn't been heard of for too long.
+
+    Too long is more than `limit` seconds or, for a worker that said nothing since it was READY, more than `startup`.
+    """
+    heard = events.groupBy("worker").agg(F.max("ts").alias("last"), F.max(F.when(F.col("type") == "READY", F.col("ts"))).alias("born"))
+    silence = now - F.col("last")
+    allowed = F.when(F.col("last") == F.col("born"), startup).otherwise(limit)
+    return heard.select("worker", "last", silence.alias("silence"), (silence > allowed).alias("timed_out"))
+
+
 def sessions(events: DataFrame, limit: int) -> DataFrame:
     """``worker, start, events``: stretches without a pause of `limit` seconds or more."""
     at = F.timestamp_seconds("ts")

@@ -41,13 +41,30 @@ def slices_before_gap(ids: DataFrame, most: int = 50) -> DataFrame:
     return ids.withColumn("missing", missing).withColumn("stopped", F.max(F.col("missing") > most).over(order)).where("not stopped").select("id")
 
 
-def panel(scan: DataFrame, devices: DataFrame) -> DataFrame:
-    """Lines ``value`` of a progress panel, from one row each: ``dirs, files, age`` and ``dead, condemned``."""
+def panel(scan: DataFrame, devices: DataFrame, workers: DataFrame | None = None, rates: DataFrame | None = None, probes: DataFrame | None = None) -> DataFrame:
+    """Lines ``value`` of a progress panel.
+
+    scan: one row of ``dirs, files, age``; devices: one of ``dead, condemned``; workers: a row for each, ``worker, state, path, open``;
+    rates: one row of ``rate, peak_rate`` an hour; probes: a row for each that runs, ``dev, path``. Paths are masked and cut
+    to their last 20 characters; a null one is a dash.
+    """
 
     def line(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("value")
 
     c = F.col
+    at = F.coalesce(text.shortened(text.masked(c("path"))), F.lit("-"))
     of_scan = F.array(line("directories ", c("dirs"), ", files ", c("files")), line("elapsed ", text.elapsed(c("age"))))
-    of_devices = line("devices dead ", c("dead"), ", condemned ", c("condemned"))
-    return scan.select(F.explode(of_scan).alias("value")).unionByName(devices.select(of_devices.alias("value")))
+    found = [scan.select(F.explode(of_scan).alias("value")), devices.select(line("devices dead ", c("dead"), ", condemned ", c("condemned")))]
+    if workers is not None:
+        total = workers.agg(F.count_if(c("state") != "DEAD").alias("alive"), F.count("*").alias("n"), F.coalesce(F.sum("open"), F.lit(0)).alias("open"))
+        found.append(total.select(line("workers ", c("alive"), " of ", c("n"), ", tasks pending ", c("open"))))
+        found.append(workers.select(line("worker ", c("worker"), " ", c("state"), " ", at)))
+    if rates is not None:
+        found.append(rates.select(line("rate ", F.round("rate").cast("bigint"), " an hour, most ", F.round("peak_rate").cast("bigint"))))
+    if probes is not None:
+        found.append(probes.select(line("probe of device ", c("dev"), " ", at)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

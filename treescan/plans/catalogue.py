@@ -242,6 +242,15 @@ def heartbeat_gaps(spark, d):
     return ctl.gaps(ns.control(spark, d), GAP).select("worker", "seq", "gap")
 
 
+@query(f"""SELECT worker, last, silence, silence > CASE WHEN last = born THEN {2 * GAP} ELSE {GAP} END AS timed_out FROM
+  (SELECT worker, max(ts) AS last, max(CASE WHEN type = 'READY' THEN ts END) AS born, (SELECT max(ts) FROM control) + {GAP // 2} - max(ts) AS silence FROM control GROUP BY worker)""")
+def worker_timeouts(spark, d):
+    """an hour after the last message, who has been silent for two hours or, since it was ready, for four."""
+    events = ns.control(spark, d)
+    now = events.agg((F.max("ts") + GAP // 2).alias("now")).scalar()
+    return ctl.timeouts(events, now, GAP, 2 * GAP)
+
+
 @query(f"""SELECT worker, CAST(min(ts) AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS events FROM
   (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY worker ORDER BY ts, seq) AS s FROM
     (SELECT *, ts - lag(ts) OVER (PARTITION BY worker ORDER BY ts, seq) AS gap FROM control)) GROUP BY worker, s""")
@@ -295,16 +304,33 @@ def idle_worker_pick(spark, d):
 
 @query(f"""WITH {ns.SQL},
 {_FOLD},
+{_SKIPPED},
+hourly AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS total FROM (SELECT ts // 3600 * 3600 AS ts, count(*) AS n FROM control GROUP BY 1)),
+rate AS (SELECT ts, CASE WHEN ts > t0 THEN (total - c0) / (ts - t0) ELSE 0.0 END AS rate FROM
+  (SELECT *, first_value(ts) OVER w AS t0, first_value(total) OVER w AS c0 FROM hourly WINDOW w AS (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))),
+w AS (SELECT worker, CASE arg_max(type, seq) WHEN 'ERROR' THEN 'DEAD' WHEN 'READY' THEN 'IDLE' WHEN 'FINISH' THEN 'IDLE' ELSE 'BUSY' END AS state,
+  count_if(type = 'BATCH') - count_if(type = 'FINISH') AS open FROM control GROUP BY worker),
+probe AS (SELECT dev, regexp_replace(arg_min(path, seq), '([^/]+)([^/])', '***\\2', 'g') AS path FROM skipped GROUP BY dev),
 c AS (SELECT count_if(is_dir) AS dirs, count_if(NOT is_dir) AS files, max(mtime) - min(mtime) AS age FROM entries),
 v AS (SELECT count_if(state = 'DEAD') AS dead, count_if(state = 'CONDEMNED') AS condemned FROM device)
 SELECT 'directories ' || dirs || ', files ' || files AS value FROM c
 UNION ALL SELECT 'devices dead ' || dead || ', condemned ' || condemned FROM v
-UNION ALL SELECT 'elapsed ' || (age // 86400) || 'd ' || lpad(CAST(age % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 60 AS VARCHAR), 2, '0') FROM c""", views=False)
+UNION ALL SELECT 'elapsed ' || (age // 86400) || 'd ' || lpad(CAST(age % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(age % 60 AS VARCHAR), 2, '0') FROM c
+UNION ALL SELECT 'workers ' || count_if(state <> 'DEAD') || ' of ' || count(*) || ', tasks pending ' || sum(open) FROM w
+UNION ALL SELECT 'worker ' || worker || ' ' || state || ' -' FROM w
+UNION ALL SELECT 'rate ' || CAST(round(arg_max(rate, ts) * 3600) AS BIGINT) || ' an hour, most ' || CAST(round(max(rate) * 3600) AS BIGINT) FROM rate
+UNION ALL SELECT 'probe of device ' || dev || ' ' || CASE WHEN length(path) > 20 THEN '...' || right(path, 20) ELSE path END FROM probe""", views=False)
 def monitor_panel(spark, d):
-    """The lines of the progress panel."""
+    """The lines of the progress panel."""
     e = ns.entries(spark, d).agg(F.count_if("is_dir").alias("dirs"), F.count_if(~F.col("is_dir")).alias("files"), (F.max("mtime") - F.min("mtime")).alias("age"))
     v = _devices(spark, d).agg(F.count_if(F.col("state") == "DEAD").alias("dead"), F.count_if(F.col("state") == "CONDEMNED").alias("condemned"))
-    return counters.panel(e, v)
+    w = worker_state_latest(spark, d).join(orphaned_tasks(spark, d).withColumnRenamed("orphans", "open"), "worker")
+    w = w.select("worker", "state", F.lit(None).cast("string").alias("path"), "open")
+    at = (F.floor(F.col("ts") / 3600) * 3600).alias("ts")
+    n = ns.control(spark, d).groupBy(at).agg(F.count("*").alias("n"))
+    r = counters.rates(n.select("ts", F.sum("n").over(Window.orderBy("ts")).alias("total")))  # an hour a row
+    r = r.agg((F.max_by("rate", "ts") * 3600).alias("rate"), (F.max("rate") * 3600).alias("peak_rate"))
+    return counters.panel(e, v, w, r, probe_first_path(spark, d).withColumnRenamed("probe_path", "path"))
 
 
 # --- formats ------------------------------------------------------------------------------------
@@ -587,6 +613,12 @@ def rate_window_60(spark, d):
 # --- the real world -----------------------------------------------------------------------------
 
 
+@query("SELECT path, left(path, 31) AS bounded FROM entries")
+def bounded_paths(spark, d):
+    """Paths cut to a field of 32 bytes with its end (names are ASCII here; the tests have others)."""
+    return ns.entries(spark, d).select("path", text.bounded(F.col("path"), 32).alias("bounded"))
+
+
 @query()
 def fs_real_listing(spark, d):
     """A folder's own tree, through the file-system source (local paths)."""

@@ -108,15 +108,18 @@ def scan(spark: SparkSession, o: Options) -> Result:
             users, groups = filesystem.owners(spark)
             # names of one machine's accounts, known by now to be few
             rows = rows.join(F.broadcast(users), "uid", "left").join(F.broadcast(groups), "gid", "left")
-        lines = sink.lines(rows, o.template, o.csv, o.quote)
+        lines = sink.lines(rows, o.template, o.csv, o.quote, local=True)
         if o.output:
             sink.write_text(lines, o.output, append=o.resume)
         if o.output_split:
-            sink.write_slices(rows.select("path", template.compiled(o.template, csv=o.csv, quote=o.quote).alias("value")), o.output_split, o.slice_rows, "path")
+            sink.write_slices(rows.select("path", template.compiled(o.template, o.csv, o.quote, local=True).alias("value")), o.output_split, o.slice_rows, "path")
         if o.dir_log:
             sink.directory_log(found, o.dir_log)
         counts = counters.scan_counts(found).first()
         if ledger:
+            if o.output_split:
+                n = counts["file_count"] + counts["dir_count"] * o.include_dirs
+                ledger.move_cursor(output_slice=-(-n // o.slice_rows), output_line=(n - 1) % o.slice_rows + 1 if n else 0)
             if o.archive and complete:
                 ledger.compact()
             ledger.finish(*(() if complete else ("Incomplete", "devices failed")))

@@ -11,9 +11,9 @@ from ..functions import template
 from ..operators.ranking import numbered
 
 
-def lines(entries: DataFrame, form: str = template.DEFAULT, csv: bool = False, quote: bool = False) -> DataFrame:
+def lines(entries: DataFrame, form: str = template.DEFAULT, csv: bool = False, quote: bool = False, local: bool = False) -> DataFrame:
     """One column ``value``."""
-    return entries.select(template.compiled(form, csv=csv, quote=quote).alias("value"))
+    return entries.select(template.compiled(form, csv, quote, local).alias("value"))
 
 
 def write_text(rows: DataFrame, path: str, append: bool = False) -> None:

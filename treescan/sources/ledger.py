@@ -11,6 +11,7 @@ import os
 import socket
 import time
 import uuid
+from dataclasses import astuple, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ from ..operators.ranking import numbered
 from ..schema import HISTORY, KEY, LEDGER, SKIPPED
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """How far a scan came: the last slice and its lines, entries in all, and the last slice of output and its lines."""
+
+    slice: int = 0
+    line: int = 0
+    entries: int = 0
+    output_slice: int = 0
+    output_line: int = 0
+
+
 class Ledger:
     """A ledger below a local or mounted folder `base`."""
 
@@ -39,10 +51,13 @@ class Ledger:
             return {}
 
     def _replace(self, name: str, value: dict) -> None:
+        self._replace_text(name, json.dumps(value))
+
+    def _replace_text(self, name: str, value: str) -> None:
         os.makedirs(self.base, exist_ok=True)
         temporary = f"{self.base}/.{name}.{uuid.uuid4().hex}"
         with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(value, f)
+            f.write(value)
             f.flush()
             os.fsync(f.fileno())
         os.replace(temporary, f"{self.base}/{name}")
@@ -55,6 +70,32 @@ class Ledger:
     def runs(self) -> list[dict]:
         return self._read("manifest.json").get("runs", [])
 
+    @property
+    def cursor(self) -> Cursor | None:
+        """Where the scan is; none if the file isn't there or hasn't five whole numbers."""
+        try:
+            with open(f"{self.base}/cursor", encoding="utf-8") as f:
+                numbers = f.read().split()[:5]
+        except FileNotFoundError:
+            return None
+        return Cursor(*map(int, numbers)) if len(numbers) == 5 and all(x.isdecimal() for x in numbers) else None
+
+    def move_cursor(self, **at: int) -> None:
+        self._replace_text("cursor", " ".join(map(str, astuple(replace(self.cursor or Cursor(), **at)))) + "\n")
+
+    @property
+    def settings(self) -> list[str]:
+        """Lines ``key=value``: a session's settings, and below them how it went."""
+        try:
+            with open(f"{self.base}/settings", encoding="utf-8") as f:
+                return f.read().splitlines()
+        except FileNotFoundError:
+            return []
+
+    def _note(self, lines: list[str], **values) -> None:
+        said = [f"{k}={int(v) if isinstance(v, bool) else v}" for k, v in values.items() if v is not None]
+        self._replace_text("settings", "".join(f"{x}\n" for x in lines + said))
+
     def start(self, path: str, resume: bool, archive: bool = False, **settings) -> None:
         """Begin a session; a resumed one must be of the same path and archive setting. One scan at a time."""
         old = self.session
@@ -66,9 +107,12 @@ class Ledger:
         self._take_lock()
         if not resume:
             self._replace("manifest.json", {"runs": []})
+            self.move_cursor(**vars(Cursor()))
         # of a first scan, which goes on where it broke off; its runs are whole levels
         first = not self.runs or bool(old.get("first") and old.get("status") != "Success")
         self._replace("session.json", {**settings, "path": path, "archive": archive, "first": first, "status": "Running", "start_time": int(time.time())})
+        say = settings.get
+        self._note([], path=path, output=say("output"), output_split=say("output_split"), start_time=self.session["start_time"], archive=archive, clean=say("clean"), csv=say("csv"), status="Running")
 
     def _take_lock(self) -> None:
         """One scan at a time; the lock of a process of this machine that is gone is taken over."""
@@ -87,7 +131,9 @@ class Ledger:
         raise RuntimeError(f"another scan holds {path}")
 
     def finish(self, status: str = "Success", error: str | None = None) -> None:
-        self._replace("session.json", {**self.session, "status": status, "end_time": int(time.time()), **({"error": error} if error else {})})
+        end = int(time.time())
+        self._replace("session.json", {**self.session, "status": status, "end_time": end, **({"error": error} if error else {})})
+        self._note(self.settings, status=status, error=error, end_time=end)
         self.release()
 
     def release(self) -> None:
@@ -111,6 +157,7 @@ class Ledger:
         if n:
             run = {"name": name, "rows": n, "first_slice": first, "last_slice": first + (n - 1) // self.slice_rows, "level": level}
             self._replace("manifest.json", {**self._read("manifest.json"), "runs": [*self.runs, run]})
+            self.move_cursor(slice=run["last_slice"], line=(n - 1) % self.slice_rows + 1, entries=sum(r["rows"] for r in self.runs))
         return n
 
     def park(self, directories: DataFrame) -> int:
@@ -175,6 +222,6 @@ class Ledger:
 
         for r in self.runs:
             shutil.rmtree(f"{self.base}/{r['name']}", ignore_errors=True)
-        for name in ("manifest.json", "session.json", "lock"):
+        for name in ("manifest.json", "session.json", "cursor", "settings", "lock"):
             if os.path.exists(f"{self.base}/{name}"):
                 os.remove(f"{self.base}/{name}")
