@@ -7,13 +7,14 @@ batch at once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .shared import mapped, written
 
@@ -30,29 +31,65 @@ for _k, _v in enumerate(_GROUPS.values()):
     _MASKS[_k, list(_v)] = 1
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-
-
-def features(text: bytes) -> np.ndarray:
-    raw = np.frombuffer(text, np.uint8)
-    n = max(1, len(raw))
-    hist = np.bincount(raw, minlength=256)
-    share = hist / n
-    words = text.split()
-    w = max(1, len(words))
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[raw], [True]]).astype(np.int8)))
-    sizes = (edges[1::2] - edges[::2]) if len(edges) else np.zeros(1)
-    lines = [x for x in text.split(b"\n") if x]
-    seen: dict[bytes, int] = {}
-    for x in words:
-        seen[x] = seen.get(x, 0) + 1
-    first = np.frombuffer(b"".join([x[:1] for x in words]), np.uint8) if words else np.zeros(1, np.uint8)
-    last = np.frombuffer(b"".join([x[-1:] for x in words]), np.uint8) if words else np.zeros(1, np.uint8)
+_BLANK, _LINE = re.compile(rb"[ \t\n\x0b\x0c\r]"), re.compile(rb"\n")
+
+
+#: Bytes of a text that are looked at at once; a piece ends where a word or line does.
+PIECE = 1 << 18
+
+
+def _pieces(text: bytes, end: re.Pattern, size: int) -> Iterator[bytes]:
+    lo = 0
+    while lo < len(text):
+        cut = end.search(text, lo + size)
+        hi = cut.end() if cut else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _names(parts: Iterator[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of all parts in their order."""
+    found = [np.fromiter(map(xxh64_intdigest, part), np.uint64, len(part)) for part in parts]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _distinct(names: np.ndarray) -> tuple[int, int]:
+    """How many names differ, and how often the commonest occurs."""
+    if not len(names):
+        return 0, 0
+    s = np.sort(names)
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return len(starts), int(np.diff(np.append(starts, len(s))).max())
+
+
+def features(text: bytes, size: int = PIECE) -> np.ndarray:
+    """The statistics `NAMES` of a whole text. Words and lines are told apart by 64-bit hashes, so that a long text
+    takes some forty bytes a word and not an object each. An empty text has none of anything."""
+    n = max(1, len(text))
+    hist, total, squares, capital, symbol, count = np.zeros(256, np.int64), 0.0, 0.0, 0, 0, 0
+    for piece in _pieces(text, _BLANK, size):
+        raw = np.frombuffer(piece, np.uint8)
+        hist += np.bincount(raw, minlength=256)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACES[raw], [True]]).astype(np.int8)))
+        sizes, first, last = (edges[1::2] - edges[::2]).astype(np.float64), raw[edges[::2]], raw[edges[1::2] - 1]
+        count += len(sizes)
+        total += sizes.sum()
+        squares += (sizes**2).sum()
+        capital += int(((first >= 65) & (first <= 90)).sum())
+        symbol += int((_MASKS[7] + _MASKS[5])[last].sum())
+    w, share = max(1, count), hist / n
+    words = _names(piece.split() for piece in _pieces(text, _BLANK, size))
+    kinds, top = _distinct(words)
+    same = int((words[1:] == words[:-1]).sum())
+    pairs = _distinct(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])[0]
+    del words
+    lines = _names([x for x in piece.split(b"\n") if x] for piece in _pieces(text, _LINE, size))
+    m = max(1, len(lines))
     live = share[share > 0]
     return np.array([
-        np.log1p(len(raw)), np.log1p(len(words)), sizes.mean(), sizes.std(), *(_MASKS @ share),
-        float(-(live * np.log2(live)).sum()), np.log1p(len(lines)), np.log1p(len(raw) / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)),
-        len(seen) / w, max(seen.values(), default=0) / w, sum(map(eq, words, words[1:])) / w, hist[46] / w, len(set(zip(words, words[1:]))) / w,
-        ((first >= 65) & (first <= 90)).sum() / w, (_MASKS[7] + _MASKS[5])[last].sum() / w,
+        np.log1p(len(text)), np.log1p(count), total / w, max(0.0, squares / w - (total / w) ** 2) ** 0.5, *(_MASKS @ share),
+        float(-(live * np.log2(live)).sum()), np.log1p(len(lines)), np.log1p(len(text) / m), 1 - _distinct(lines)[0] / m,
+        kinds / w, top / w, same / w, hist[46] / w, pairs / w, capital / w, symbol / w,
     ])
 
 
