@@ -77,6 +77,25 @@ def test_walk(spark):
         traverse.walk(ring, "a", levels=5)
 
 
+def test_depths_of_more_than_a_million_rows(spark):
+    top = spark.range(1_000_001).selectExpr("'/' || id AS path", "'' AS parent")
+    below = top.selectExpr("path || '/x' AS path", "path AS parent").limit(3)
+    rows = traverse.depths(top.unionByName(below), "").groupBy("depth").count().collect()
+    assert {r["depth"]: r["count"] for r in rows} == {1: 1_000_001, 2: 3}
+
+
+def test_depths_have_each_row_once(spark):
+    rows = [("/a", ""), ("/a", ""), ("/a/b", "/a"), ("/a/b", "/a"), ("/a", "/a/b"), ("", "/a/b"), ("/a/n", "/a"), (None, "/a/n"), ("/z", "/y"), ("/w", None)]
+    found = [(r["path"], r["depth"]) for r in traverse.depths(spark.createDataFrame(rows, "path string, parent string"), "").collect()]
+    assert sorted(found, key=str) == sorted([("/a", 1), ("/a", 1), ("/a/b", 2), ("/a/b", 2), ("/a/n", 2), ("/a", 3), ("", 3), (None, 3)], key=str)
+    assert traverse.depths(spark.createDataFrame(rows, "path string, parent string"), "/none").collect() == []
+
+
+def test_depths_of_more_than_a_hundred_levels(spark):
+    chain = spark.range(1, 103, 1, 1).selectExpr("'/' || id AS path", "if(id = 1, '', '/' || (id - 1)) AS parent")
+    assert sorted((r["depth"], r["path"]) for r in traverse.depths(chain, "").collect()) == [(k, f"/{k}") for k in range(1, 103)]
+
+
 def test_links(spark):
     e = spark.createDataFrame([("/d", 0o040755, 1)], "path string, mode int, size bigint")
     links = spark.createDataFrame([("/l", 0o120777, 3, "/d"), ("/m", 0o120777, 3, "/none")], "path string, mode int, size bigint, target string")

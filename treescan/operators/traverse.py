@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import scratch_path, stored
 from .dedup import unseen
 
 
@@ -30,21 +30,24 @@ def walk(children: DataFrame, root: str, levels: int = 4096, visited: DataFrame
     raise ValueError(f"more than {levels} levels: the links may form a ring")
 
 
-RECURSIVE = """
-WITH RECURSIVE tree(path, depth) MAX RECURSION LEVEL 100 AS (
-  SELECT path, 1 FROM {edges} WHERE parent = '{root}'
-  UNION ALL
-  SELECT e.path, t.depth + 1 FROM tree t JOIN {edges} e ON e.parent = t.path
-)
-SELECT path, depth FROM tree
-"""
-
-
 def depths(edges: DataFrame, root: str) -> DataFrame:
-    """``path, depth`` by a recursive query: for trees of up to a million rows; beyond, `walk`."""
-    name = f"edges_{abs(hash(root)) % 10**8}"
-    edges.createOrReplaceTempView(name)
-    return edges.sparkSession.sql(RECURSIVE.format(edges=name, root=root))
+    """``path, depth`` of all below `root`, whatever their number: each row of `edges` (``path, parent``) that is reached, once.
+
+    Levels are stored with their paths only. A path is entered at its least depth and not again, so rings end. A recursive
+    query would stop at a million rows or a hundred levels.
+    """
+    spark, edges = edges.sparkSession, stored(edges.select("path", "parent"))
+    out, above, level = scratch_path(spark), [], edges.where(F.col("parent") == root)
+    paths = lambda *folders: spark.read.schema("path string").parquet(*folders)
+    while True:
+        level.select("path").write.parquet(here := f"{out}/depth={len(above) + 1}")
+        frontier = paths(here)
+        if not frontier.take(1):
+            return spark.read.schema("path string, depth int").parquet(out)
+        if above:
+            frontier = frontier.join(paths(*above), "path", "left_anti")
+        level = edges.join(frontier.where(F.col("path") != root).withColumnRenamed("path", "parent"), "parent", "left_semi")
+        above.append(here)
 
 
 def resolved(links: DataFrame, entries: DataFrame, follow: bool) -> DataFrame:

@@ -40,7 +40,7 @@ def full_scan_listing(spark, d):
 
 @query("SELECT path, level + 1 AS depth FROM entries WHERE is_dir")
 def recursive_tree_depths(spark, d):
-    """S2 X15 by a recursive query."""
+    """Directories only, by levels of paths."""
     return traverse.depths(ns.directories(spark, d).select("path", "parent"), "")
 
 
