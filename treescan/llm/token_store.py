@@ -27,34 +27,77 @@ from .tokens import default_tokenizer, id_width, tokenized
 
 MAGIC = b"TKS1"
 HEAD = "<4sIQQ"
+#: Documents and ids that are handled at a time.
+DOCS, IDS = 512, 1 << 19
 #: For each control byte: the lengths of its four ids.
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 
 
+def _places(lens: np.ndarray) -> np.ndarray:
+    """Places of documents' codes, whose first is at a multiple of four each."""
+    ahead = np.cumsum(-lens % 4) + lens % 4 - np.where(lens % 4, 4, 0)
+    return np.arange(int(lens.sum())) + np.repeat(ahead, lens)
+
+
+def encode_all(values: np.ndarray, lens: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of documents that have `lens` of the unsigned 32-bit values each."""
+    most = 4 if values.max(initial=0) > 0xFFFF else 2
+    v = np.ascontiguousarray(values, f"<u{most}")
+    n = np.ones(len(v), np.uint8)
+    for k in range(1, most):
+        n += v >= 1 << 8 * k
+    widths = -(-lens // 4)
+    codes = np.zeros(4 * int(widths.sum()), np.uint8)
+    codes[_places(lens)] = n - 1
+    codes = codes.reshape(-1, 4)
+    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
+    data = v.view(np.uint8).reshape(-1, most)[np.arange(most) < n[:, None]].tobytes()
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.cumsum(lens)]
+    return _parted(control, np.cumsum(widths)), _parted(data, ends)
+
+
+def _parted(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    v = values.astype("<u4")
-    n = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = n - 1
-    codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    used = np.arange(4) < n[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    control, data = encode_all(values, np.array([len(values)]))
+    return control[0], data[0]
+
+
+def id_lengths(control: bytes, lens: np.ndarray) -> np.ndarray:
+    """Bytes of each id of documents with `lens` ids; the last control byte of a document may have unused codes."""
+    return _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[_places(lens)].astype(np.int64)
 
 
 def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The values again: lengths by table lookup of the control bytes, then a gather per byte."""
-    n = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count].astype(np.int64)
+    return gathered(id_lengths(control, np.array([count])), data)
+
+
+def gathered(n: np.ndarray, data: bytes) -> np.ndarray:
+    """The values of which `n` bytes each follow each other in `data`."""
     start = np.cumsum(n) - n
     raw = np.frombuffer(data, np.uint8)
     out = raw[start].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(n.max(initial=1))):
         more = np.flatnonzero(n > k)
         out[more] |= raw[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
+def groups(lens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that are handled together: at most `DOCS`, and `IDS` ids or one document."""
+    lo, ends = 0, np.cumsum(lens)
+    while lo < len(lens):
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, min(lo + DOCS, int(np.searchsorted(ends, done + IDS, "right"))))
+        yield lo, hi
+        lo = hi
+
+
 def _file_system(path: str):
     from pyarrow import fs
 
@@ -79,16 +122,15 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                one = np.bincount(np.frombuffer(raw, dtype))
-                if len(one) > len(total):
-                    total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
-                total[: len(one)] += one
+            for lo, hi in groups(batch.column(1).to_numpy()):
+                one = np.bincount(np.frombuffer(b"".join(batch.column(0)[lo:hi].to_pylist()), dtype), minlength=len(total))
+                one[: len(total)] += total
+                total = one
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
     # as many rows as the vocabulary has ids
-    ranked = table.select("ids").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    ranked = table.select("ids", "n_tokens").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ids = np.array([r["id"] for r in sorted(ranked, key=lambda r: (-r["n"], r["id"]))], "<u4")
     rank = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
@@ -100,10 +142,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                pairs = [encode(shared_rank.value[np.frombuffer(raw, dtype)]) for raw in batch.column(4).to_pylist()]
-                cols = [*batch.columns[:4], *(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1))]
+            for lo, hi in groups(whole.column(3).to_numpy()):
+                batch = whole.slice(lo, hi - lo)
+                values = shared_rank.value[np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype)]
+                cols = [*batch.columns[:4], *(pa.array(x, pa.binary()) for x in encode_all(values, batch.column(3).to_numpy()))]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "row_id", "doc_id", "n_tokens", "control", "data"])
 
     points = cut_points(table, "doc_id", width(spark))
@@ -169,30 +211,24 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                     docs = np.frombuffer(f.read(8 * n), "<i8")
                     valid = np.frombuffer(f.read(n), np.uint8)
                     lens = np.frombuffer(f.read(8 * n), "<u8").astype(np.int64)
-                    head = struct.calcsize(HEAD) + 17 * n
+                    control_at = struct.calcsize(HEAD) + 17 * n
                     widths = -(-lens // 4)
-                    data_at = head + int(widths.sum())
-                    for lo in range(0, n, 256):  # a few documents' sections at a time
-                        hi = min(n, lo + 256)
-                        f.seek(head + int(widths[:lo].sum()))
-                        control = f.read(int(widths[lo:hi].sum()))
-                        # the last control byte of a document may have unused codes: they have no data
-                        size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1, 4)
-                        edges = np.concatenate([[0], np.cumsum(widths[lo:hi])])
-                        out, f_at = [], data_at
-                        for i in range(lo, hi):
-                            c = control[edges[i - lo] : edges[i - lo + 1]]
-                            size_i = size[edges[i - lo] : edges[i - lo + 1]].reshape(-1)[: lens[i]]
-                            nbytes = int(size_i.sum(dtype=np.int64))
-                            f.seek(f_at)
-                            raw = ids[decode(c, f.read(nbytes), int(lens[i]))].astype("<u4").tobytes()
-                            f_at += nbytes
-                            out.append((int(docs[i]) if valid[i] else None, first, int(lens[i]), zlib.crc32(raw)) + (raw,) * with_ids)
-                            first += int(lens[i])
-                        data_at = f_at
-                        cols = list(zip(*out, strict=True))
-                        arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.binary()) for c in cols[4:]]
-                        yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+                    data_at = control_at + int(widths.sum())
+                    for lo, hi in groups(lens):
+                        f.seek(control_at)
+                        size = id_lengths(f.read(int(widths[lo:hi].sum())), lens[lo:hi])
+                        f.seek(data_at)
+                        raw = ids[gathered(size, f.read(int(size.sum())))].astype("<u4").tobytes()
+                        control_at, data_at = control_at + int(widths[lo:hi].sum()), data_at + int(size.sum())
+                        texts = _parted(raw, 4 * np.cumsum(lens[lo:hi]))
+                        cols = [
+                            pa.array(docs[lo:hi], pa.int64(), mask=valid[lo:hi] == 0),
+                            pa.array(first + np.cumsum(lens[lo:hi]) - lens[lo:hi]),
+                            pa.array(lens[lo:hi]),
+                            pa.array([zlib.crc32(x) for x in texts], pa.int64()),
+                        ] + [pa.array(texts, pa.binary())] * with_ids
+                        first += int(lens[lo:hi].sum())
+                        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
     frame = spark.createDataFrame(rows, "file string, base long")
     return frame.repartition(max(1, len(rows))).mapInArrow(run, schema)

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer, with its library.
 
 The tokenizers used here lower-case, drop white space and never join pieces across it, so the ids
-of a text are those of its chunks between ASCII white space, one after the other. A full stop or
-comma between a letter and white space is a chunk of its own, and A-Z are lower-cased before, so
-that chunks repeat more. Each chunk is encoded by the library once per cache; a text is then a
+of a text are those of its chunks between ASCII white space, one after the other. Words and runs of
+ASCII punctuation beside them are chunks of their own, and upper-case letters of Latin 1 are lower-cased
+before, so that chunks repeat more. Each chunk is encoded by the library once per cache; a text is then a
 gather. Chunks are told apart by their bytes, never by a hash alone. The tests hold this against
 the library's ids of whole texts.
 """
@@ -32,24 +32,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_LETTER, _POINT, _BLANK = np.zeros((3, 256), bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_POINT[list(b".,")] = True
-_BLANK[list(b" \n")] = True
-
-
-_BLANKS = np.zeros(256, bool)
+_WORD, _POINT, _STOP, _BLANKS, _LETTER = np.zeros((5, 256), bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_POINT[33:127] = ~_WORD[33:127]
+_STOP[list(b".,")] = True
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
+#: After the byte 0xC3: letters of Latin 1.
+_LETTER[0x80:0xC0] = True
+_LETTER[[0x97, 0xB7]] = False
+_LEAD, _APOSTROPHE = 0xC3, 39
 
 
 def normal(text: bytes) -> tuple[bytes, np.ndarray]:
-    """The text with A-Z lower-cased and stops and commas set off, and where blanks were put in."""
+    """The text, which ends in white space, with letters of Latin 1 lower-cased and runs of punctuation set off, and where blanks were put in.
+
+    A run of punctuation and a word beside it are never one piece, but an apostrophe and the letters after it may be.
+    """
     raw = np.frombuffer(text, np.uint8)
-    at = np.flatnonzero(_POINT[raw[1:-1]]) + 1
-    at = at[_LETTER[raw[at - 1]] & _BLANK[raw[at + 1]]]
-    text = np.insert(raw, at, 32).tobytes() if len(at) else text
-    # an upper-case special token is plain text: its case stays
-    return (text if b"<|" in text else text.lower()), at
+    special = b"<|" in text  # an upper-case special token is plain text: its case stays
+    low = np.frombuffer(text if special else text.lower(), np.uint8).copy()
+    if not special:
+        lead = np.flatnonzero(raw == _LEAD)
+        low[lead[_LETTER[raw[lead + 1]] & (raw[lead + 1] < 0x9F)] + 1] += 32
+    if b"\xcc" in text or b"\xcd" in text:  # with some marks a small letter is one code point, a capital isn't
+        mark = np.flatnonzero((raw == 0xCC) | (raw == 0xCD))
+        mark = mark[mark > 0] - 1
+        low[mark] = raw[mark]
+    point = np.flatnonzero((_STOP if special else _POINT)[raw])
+    before, after = raw[point - 1], raw[point + 1]  # before the first byte is the last one, which is white space
+    set_off = _WORD[before] | _LETTER[before] & (raw[point - 2] == _LEAD)
+    goes_on = (_WORD[after] | (after == _LEAD) & _LETTER[raw[np.minimum(point + 2, len(raw) - 1)]]) & (raw[point] != _APOSTROPHE)
+    at = np.sort(np.concatenate([point[set_off], point[goes_on] + 1]))
+    if not len(at):
+        return low.tobytes(), at
+    out = np.full(len(raw) + len(at), 32, np.uint8)
+    here = np.ones(len(out), bool)
+    here[at + np.arange(len(at))] = False
+    out[here] = low
+    return out.tobytes(), at
 
 
 class ChunkEncoder:
@@ -97,17 +117,17 @@ class ChunkEncoder:
 
     def add(self, chunks: list[bytes]) -> np.ndarray:
         """Encode chunks that the cache doesn't have, and number them."""
-        coded = self.encode(chunks)
-        n = np.fromiter(map(len, coded), np.int64, len(coded))
-        total, end = int(n.sum()), self.count + len(n)
+        order, flat, n = self.encode(chunks)
+        total, end = len(flat), self.count + len(n)
         if end > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros(end, np.int32)]) for x in (self.start, self.length))
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(2 * (self.used + total), self.dtype)])
         self.start[self.count : end], self.length[self.count : end] = self.used + np.cumsum(n) - n, n
-        self.flat[self.used : self.used + total] = np.concatenate(coded)
+        self.flat[self.used : self.used + total] = flat
         self.used += total
-        number = np.arange(self.count, end, dtype=np.int32)
+        number = np.empty(len(n), np.int32)
+        number[order] = np.arange(self.count, end, dtype=np.int32)
         self.count = end
         return number
 
@@ -120,25 +140,29 @@ class ChunkEncoder:
             self.low[place[won]], self.high[place[won]] = low[left[won]], high[left[won]]
             left, place = left[~won], place[~won] + 1 & len(self.slots) - 1
 
-    def encode(self, chunks: list[bytes]) -> list[np.ndarray]:
-        """By the library. Words of letters are one piece each, so they go as lines that are parted at
-        piece ends; where the ends don't tell, and for other chunks, one by one."""
+    def encode(self, chunks: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """By the library: an order of the chunks, their ids in that order and how many each has. Words of letters are one piece
+        each, so they go as lines that are parted at piece ends; where the ends don't tell, and for other chunks, one by one."""
         texts = [x.decode() for x in chunks]
-        plain = [i for i, x in enumerate(texts) if x.isalpha()]
-        rest = [i for i, x in enumerate(texts) if not x.isalpha()]
-        out: list = [None] * len(texts)
+        letters = [x.isalpha() for x in texts]
+        plain = [i for i, x in enumerate(letters) if x]
+        rest = [i for i, x in enumerate(letters) if not x]
+        order, flat, sizes = [], [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in x]) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(line) and stops[-1] == len(ids):
-                for i, lo, hi in zip(line, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    out[i] = ids[lo:hi]
+                order += line
+                flat.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
             else:
                 rest += line
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype)
-        return out
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        order += rest
+        flat.append(np.array([i for x in alone for i in x], self.dtype))
+        sizes.append(np.array([len(x) for x in alone], np.int64))
+        return order, np.concatenate(flat), np.concatenate(sizes)
 
     def step(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of texts that have at most about `STEP_BYTES` together."""
