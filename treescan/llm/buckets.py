@@ -23,6 +23,8 @@ from .shared import components, mapped, width, written
 TEXTS = 1024
 #: near(columns, i, j): for arrays of row numbers, whether row i links with row j.
 Near = Callable[[list, np.ndarray, np.ndarray], np.ndarray]
+#: apart(columns, units): rows and the group each is in, in order of groups, such that rows of a unit that link share a group of that unit.
+Apart = Callable[[list, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def connect(near: Near, columns: list, classes: np.ndarray, pivots: np.ndarray, others: np.ndarray, step: int) -> list[tuple[int, int]]:
@@ -48,7 +50,7 @@ def connect(near: Near, columns: list, classes: np.ndarray, pivots: np.ndarray,
     return edges
 
 
-def _compared(near: Near, prepare: Callable[[list], list], small: int, step: int) -> Callable:
+def _compared(near: Near, prepare: Callable[[list], list], small: int, step: int, apart: Apart | None) -> Callable:
     """For mapInArrow, over rows ``key, a, b, role, cls, node, payload...`` in the order of ``key, a, b``."""
 
     def edges_of(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +58,21 @@ def _compared(near: Near, prepare: Callable[[list], list], small: int, step: int
         starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         size = np.diff(np.append(starts, len(key)))
         columns = prepare(rows[6:])
+        unit = np.repeat(np.arange(len(starts)), size)
+        met = np.repeat(np.maximum.reduceat(role, starts) > 0, size)  # units that pivots visit
+        at = np.arange(len(key))
+        if apart:
+            at, unit = apart(columns, unit)
+            role, cls, node, met = role[at], cls[at], node[at], met[at]
+            starts = np.flatnonzero(np.diff(unit, prepend=-1))
+            size = np.diff(np.append(starts, len(at)))
         src, dst = [], []
         short = np.repeat(size, size)
         short = (short > 1) & (short <= small)
-        unit = np.repeat(np.arange(len(starts)), size)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(1, int(size[size <= small].max(initial=0))):
-            i = np.flatnonzero(short[:-d] & (unit[:-d] == unit[d:]) & (cls[:-d] != cls[d:]) & ((role[:-d] != role[d:]) | (role[:-d] + role[d:] == 0)))
-            hit = i[near(columns, i, i + d)] if len(i) else i
+            i = np.flatnonzero(short[:-d] & (unit[:-d] == unit[d:]) & (cls[:-d] != cls[d:]) & ((role[:-d] != role[d:]) | ~met[:-d]))
+            hit = i[near(columns, at[i], at[i + d])] if len(i) else i
             pairs.append((hit, hit + d))
         if pairs:
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
@@ -83,10 +92,9 @@ def _compared(near: Near, prepare: Callable[[list], list], small: int, step: int
         for s, n in zip(starts[size > small].tolist(), size[size > small].tolist(), strict=True):
             if n < 2:
                 continue
-            at = np.arange(s, s + n)
-            own = role[s : s + n]
-            pivots, others = (at[own == 1], at[own == 0]) if own.any() else (at, at)
-            shifted = connect(lambda c, i, j, s=s: near(c, i + s, j + s), columns, cls[s : s + n], pivots - s, others - s, step)
+            own, all_of = role[s : s + n], np.arange(n)
+            pivots, others = (all_of[own == 1], all_of[own == 0]) if met[s] else (all_of, all_of)
+            shifted = connect(lambda c, i, j, s=s: near(c, at[i + s], at[j + s]), columns, cls[s : s + n], pivots, others, step)
             src += [s + x for x, _ in shifted]
             dst += [s + y for _, y in shifted]
         return node[src].astype(np.int64) if src else np.zeros(0, np.int64), node[dst].astype(np.int64) if dst else np.zeros(0, np.int64)
@@ -117,19 +125,20 @@ def _compared(near: Near, prepare: Callable[[list], list], small: int, step: int
     return run
 
 
-def links(members: DataFrame, payload: list[str], near: Near, prepare: Callable[[list], list], block: int, blocks=None, small: int = 1, step: int = 1) -> DataFrame:
+def links(members: DataFrame, payload: list[str], near: Near, prepare: Callable[[list], list], block: int, blocks=None, small: int = 1, step: int = 1, apart: Apart | None = None) -> DataFrame:
     """``src, dst`` (long): edges that connect the nodes of each bucket as all their links would.
 
     members: ``key`` and ``node`` (long), each pair once, and the payload columns, which
     prepare(arrow arrays) turns into what `near` reads. blocks: of a bucket, a column over its
     aggregated rows (default: its rows over `block`). Buckets of at most `small` rows are compared
-    many at a time, in others `step` rows at a time meet the rest.
+    many at a time, in others `step` rows at a time meet the rest. apart: parts buckets into groups outside of
+    which nothing links, and only rows of a group are compared.
     """
     spark = members.sparkSession
     parts = width(spark)
     count = F.ceil(F.count("*") / block) if blocks is None else blocks
     large = written(members.groupBy("key").agg(count.cast("int").alias("blocks"), F.count("*").alias("n"), F.min("node").alias("first")).where("blocks > 1").select("key", "blocks", "first"))
-    run = _compared(near, prepare, small, step)
+    run = _compared(near, prepare, small, step, apart)
     row = ["key", "a", "b", "role", "cls", "node", *payload]
     zero = F.lit(0)
     several = bool(large.take(1))
@@ -191,3 +200,73 @@ def jaccard(threshold: float) -> Near:
         return out
 
     return near
+
+
+#: Elements of pairs of small sets that are looked up at a time.
+ELEMENTS = 1 << 20
+
+
+def tabled(rows: np.ndarray, elements: np.ndarray, count: int) -> list:
+    """What :func:`likeness` and :func:`prefixes` read, of `count` sets that aren't empty, given by their elements, repeats included."""
+    names, element = np.unique(elements, return_inverse=True)
+    table = np.unique(rows * len(names) + element)  # in order of sets and elements
+    row = table // max(1, len(names))
+    sizes = np.bincount(row, minlength=count)
+    return [table, row, table - row * len(names), np.cumsum(sizes) - sizes, sizes, np.zeros(len(names), bool)]
+
+
+def likeness(threshold: float) -> Near:
+    """Exact Jaccard similarity of at least `threshold`, for :func:`tabled` sets; of small ones many pairs are settled at once."""
+
+    def near(columns: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        table, _, element, first, sizes, mark = columns
+        out = np.zeros(len(i), bool)
+        like = np.flatnonzero(np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]))
+        if not len(like):
+            return out
+        i, j = i[like], j[like]
+        both = np.zeros(len(like), np.int64)
+        if (i == i[0]).all():
+            own = element[first[i[0]] : first[i[0]] + sizes[i[0]]]
+            mark[own] = True
+            at, starts = _elements(first[j], sizes[j])
+            both[:] = np.add.reduceat(mark[element[at]], starts, dtype=np.int64)
+            mark[own] = False
+        else:
+            chunk = np.cumsum(sizes[i]) // ELEMENTS
+            for some in np.split(np.arange(len(i)), np.flatnonzero(np.diff(chunk)) + 1):
+                at, starts = _elements(first[i[some]], sizes[i[some]])
+                wanted = np.repeat(j[some], sizes[i[some]]) * len(mark) + element[at]
+                found = table[np.minimum(np.searchsorted(table, wanted), len(table) - 1)] == wanted
+                both[some] = np.add.reduceat(found, starts, dtype=np.int64)
+        out[like] = both >= threshold * (sizes[i] + sizes[j] - both)
+        return out
+
+    return near
+
+
+def _elements(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sets' elements, one set after the other, and where each set begins there."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - ends + sizes, sizes) + np.arange(int(ends[-1])), ends - sizes
+
+
+def prefixes(threshold: float) -> Apart:
+    """Groups of :func:`tabled` sets of a unit that share one of their rarest elements.
+
+    With Jaccard similarity t or more two sets share t times the size of the larger one at least. So in any order of
+    the elements their first common one is among the first ``size - ceil(t * size) + 1`` of both: no link is lost.
+    """
+
+    def apart(columns: list, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, row, element, first, sizes, mark = columns
+        _, group, count = np.unique(unit[row] * len(mark) + element, return_inverse=True, return_counts=True)
+        often = count[group]
+        order = np.lexsort((element, often, row))  # the row stays the place's
+        enough = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+        order = order[np.arange(len(order)) - first[row] < enough[row]]
+        order = order[often[order] > 1]
+        order = order[np.lexsort((row[order], group[order]))]
+        return row[order], group[order]
+
+    return apart

@@ -10,8 +10,8 @@ A paragraph longer than `MOST` shingles, as text without such cuts would be, is
    has a bound, goes to the executors. (Beyond that size it lets more through, at most the corpus once, never
    less; an exact join settles what has company.)
 2. The corpus is read again, and paragraphs that pass are written with their words.
-3. Equal texts are one node. Nodes that share a band key are compared by the exact Jaccard
-   similarity of their shingles (:mod:`buckets`). Components of links are the groups of which one paragraph stays.
+3. Equal texts are one node. Nodes that share a band key and one of their rarest shingles there are compared by the exact
+   Jaccard similarity of their shingles (:mod:`buckets`). Components of links are the groups of which one paragraph stays.
 4. Neighbouring paragraphs of a document that have company are a passage if they hold `passage` words together;
    shorter repeats are phrases, and are left alone.
 
@@ -327,7 +327,7 @@ def duplicates(docs: DataFrame, threshold: float = JACCARD, recall: float = RECA
     sizes = keys.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("node")).alias("xor")).where(F.col("count") > 1)
     sizes = sizes.groupBy("count", "sum", "xor").agg(F.min("key").alias("key")).select("key")
     members = written(keys.join(sizes, "key").join(nodes.select("node", "words"), "node").select("key", "node", "words"))
-    edges = buckets.links(members, ["words"], buckets.jaccard(threshold), _numbered, buckets.TEXTS)
+    edges = buckets.links(members, ["words"], buckets.likeness(threshold), _tabled, buckets.TEXTS, small=16, apart=buckets.prefixes(threshold))
     joined = components(edges)
     named = written(nodes.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node")))
     # a node whose two ends differ has two places at least
@@ -358,9 +358,21 @@ def _keys(texts: list[bytes], bands: int, rows: int) -> np.ndarray:
     return np.ascontiguousarray(band_keys(gram_hashes(words)[word], first, bands, rows))
 
 
-def _numbered(columns: list) -> list:
-    number: dict[bytes, int] = {}
-    return buckets.numbered([np.array([number.setdefault(x, len(number)) for x in shingles(w)], np.uint64) for w in columns[0].to_pylist()])
+def _tabled(columns: list) -> list:
+    """Shingles of paragraphs given by their words with single spaces between. Words and pairs of them are told apart by their
+    bytes, a shingle by two pairs and a word."""
+    texts = columns[0].to_pylist()
+    words = b" ".join(texts).split(b" ") if texts else []
+    count = np.array([x.count(b" ") + 1 for x in texts], np.int64)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    n = np.maximum(count - SHINGLE + 1, 0)
+    if (n < 1).any():
+        raise ValueError("a paragraph has a shingle at least")
+    at = np.repeat(np.cumsum(count) - count - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    pairs, two = np.unique(word[:-1] * len(number) + word[1:], return_inverse=True)
+    fours, four = np.unique(two[at] * len(pairs) + two[at + 2], return_inverse=True)
+    return buckets.tabled(np.repeat(np.arange(len(texts)), n), four * len(number) + word[at + 4], len(texts))
 
 
 def shingles(words: bytes) -> frozenset[bytes]:
